@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.llm.docpairs import documented_symbols, function_pairs
+from skein.llm.leaks import leaks
+from skein.llm.mixing import mix
 from skein.llm.neighbours import neighbour_pairs, similar_vectors
 from skein.sources.tables import table
 
@@ -17,5 +20,36 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_pairs(p6_neighbours(spark, sf_dir))
 
 
-QUERIES = {"p6_found": p6_found}
-SQL = {}
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    symbols = table(spark, sf_dir, "nodes", "id", "label", "file_path", "name", "start_line").where(F.col("label").isin("Function", "Method"))
+    symbols = symbols.select("id", F.col("file_path").alias("path"), "name", F.col("start_line").alias("line"))
+    return documented_symbols(table(spark, sf_dir, "files", "path", "content"), symbols).select("symbol_id").distinct()
+
+
+def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return function_pairs(table(spark, sf_dir, "files", "path", "content"))
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "text"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).where("kind = 'literal'").select("doc_id", "item_id").distinct()
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked items: documents and longest passage by kind."""
+    return _leaks(spark, sf_dir).groupBy("item_id", "kind").agg(F.count("*").alias("documents"), F.max("words").alias("most_words"))
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_found": p7_found, "p7_items": p7_items, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
+SQL: dict[str, str] = {}
