@@ -30,8 +30,8 @@ from skein.session import materialize
 #: Rows of the sample that centroids are fitted on: this many for each centroid, and so at most MAX_BLOCKS times as many.
 SAMPLE_PER_BLOCK = 24
 MAX_BLOCKS = 4096
-BLOCKS_PER_GROUP = 8
-TILE_DATA, TILE_QUERIES = 16_384, 16_384
+BLOCKS_PER_GROUP = 32
+TILE_DATA, TILE_QUERIES = 32_768, 32_768
 STEP = 1024
 
 
@@ -114,13 +114,14 @@ def similar_vectors(df: DataFrame, identity: str, vector: str, size: int, k: int
     spark = df.sparkSession
     rows = usable(df.where(F.col(identity).isNotNull()).select(F.col(identity).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("v")), "v", size).distinct()
     ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("place") <= k + 1)
-    classes = materialize(ranked.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("class"), "ids", "v"), "vectors")
+    classes = ranked.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).orderBy(F.col("ids")[0])
+    classes = materialize(classes.withColumn("n", F.monotonically_increasing_id()), "vectors")  # n follows the order of the ids
     total = classes.count()
     if total == 0:
         return rows.select("id", F.col("id").alias("neighbour"), F.lit(0.0).alias("similarity")).limit(0)
     count = int(min(MAX_BLOCKS, max(1, round(total / block_rows))))
     every = max(1, total // (count * SAMPLE_PER_BLOCK))
-    sample = [r.v for r in classes.where(F.pmod(F.xxhash64("class"), F.lit(every)) == 0).select("v").limit(count * SAMPLE_PER_BLOCK).collect()]
+    sample = [r.v for r in classes.where(F.pmod(F.xxhash64("n"), F.lit(every)) == 0).select("v").limit(count * SAMPLE_PER_BLOCK).collect()]
     sample = unit(np.array(sample or [classes.first().v], dtype=np.float32)).astype(np.float32)
     middle = centroids(sample, count)
     count, probes = len(middle), min(probes, len(middle))
@@ -136,14 +137,14 @@ def similar_vectors(df: DataFrame, identity: str, vector: str, size: int, k: int
             near = unit(raw).astype(np.float32) @ middle.T
             best = np.argsort(-near, axis=1, kind="stable")[:, :probes].astype(np.int32)
             yield pd.DataFrame({
-                "class": pdf["class"], "ids": pdf["ids"], "vec": [x.tobytes() for x in raw], "block": best[:, 0],
+                "n": pdf["n"], "vec": [x.tobytes() for x in raw], "block": best[:, 0],
                 "asks": [[{"g": int(g), "blocks": b[group_of[b] == g].tolist()} for g in np.unique(group_of[b])] for b in best],
             })
 
-    assigned = classes.mapInPandas(assign, "class string, ids array<string>, vec binary, block int, asks array<struct<g:int, blocks:array<int>>>")
+    assigned = classes.select("n", "v").mapInPandas(assign, "n bigint, vec binary, block int, asks array<struct<g:int, blocks:array<int>>>")
     home = F.array(*[F.lit(int(g)) for g in group_of])[F.col("block")] if count <= 64 else F.element_at(F.lit([int(g) for g in group_of]), F.col("block") + 1)
-    data = assigned.select("class", "ids", "vec", "block", home.alias("g"))
-    asks = assigned.select(F.col("class").alias("query"), F.col("vec").alias("qvec"), F.explode("asks").alias("ask")).select("query", "qvec", "ask.g", "ask.blocks")
+    data = assigned.select("n", "vec", "block", home.alias("g"))
+    asks = assigned.select(F.col("n").alias("query"), F.col("vec").alias("qvec"), F.explode("asks").alias("ask")).select("query", "qvec", "ask.g", "ask.blocks")
     sizes = {r.g: (r.d, r.q) for r in assigned.select(F.explode("asks.g").alias("g"), home.alias("h")).groupBy("g").agg(F.count_if(F.col("g") == F.col("h")).alias("d"), F.count("*").alias("q")).collect()}
     parts = {g: (-(-d // TILE_DATA), -(-q // TILE_QUERIES)) for g, (d, q) in sizes.items()}
 
@@ -160,10 +161,10 @@ def similar_vectors(df: DataFrame, identity: str, vector: str, size: int, k: int
     def tile(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"query": [], "best": []}
         if len(q) and len(d):
-            d = d.sort_values("class", ignore_index=True)
+            d = d.sort_values("n", ignore_index=True)
             data = unit(np.frombuffer(b"".join(d["vec"]), np.float32).reshape(len(d), -1))
             asked = unit(np.frombuffer(b"".join(q["qvec"]), np.float32).reshape(len(q), -1))
-            at = {c: i for i, c in enumerate(d["class"])}
+            at = {c: i for i, c in enumerate(d["n"])}
             own = np.array([at.get(c, -1) for c in q["query"]])
             of = np.repeat(np.arange(len(q)), [len(b) for b in q["blocks"]])
             wanted = np.concatenate(list(q["blocks"]))
@@ -181,28 +182,31 @@ def similar_vectors(df: DataFrame, identity: str, vector: str, size: int, k: int
                 r, c, s = r[order], c[order], s[order]
                 first = np.searchsorted(r, r)
                 keep = np.arange(len(r)) - first < k
-                ids, names = d["ids"].to_numpy(), q["query"].to_numpy()
+                ids, names = d["n"].to_numpy(), q["query"].to_numpy()
                 lists: dict[int, list] = {}
-                for x, y, z in zip(r[keep], c[keep], s[keep]):
-                    lists.setdefault(x, []).extend((-float(z), i) for i in ids[y][:k])
+                for x, y, z in zip(r[keep].tolist(), ids[c[keep]].tolist(), s[keep].tolist()):
+                    lists.setdefault(x, []).append((-z, y))
                 for x, best in lists.items():
                     out["query"].append(names[x])
-                    out["best"].append([{"id": i, "s": -s} for s, i in heapq.nsmallest(k, best)])
+                    out["best"].append([{"n": i, "s": -s} for s, i in heapq.nsmallest(k, best)])
         return pd.DataFrame(out)
 
-    found = tiled(asks, "query", 1).groupBy("tile").cogroup(tiled(data, "class", 0).groupBy("tile")).applyInPandas(tile, "query string, best array<struct<id:string, s:double>>")
-
-    def better(a, b):
-        return F.when(a["s"] > b["s"], -1).when(a["s"] < b["s"], 1).when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)
-
-    merged = found.groupBy("query").agg(F.flatten(F.collect_list("best")).alias("best")).withColumn("best", F.slice(F.array_sort("best", better), 1, k))  # at most k for each group asked
-    singles = classes.where(F.size("ids") == 1).select(F.col("class").alias("query"), F.col("class").alias("id"), F.lit(None).cast("array<string>").alias("ids"))
-    several = classes.where(F.size("ids") > 1).select(F.col("class").alias("query"), "ids", "v")
-    copies = skew_join(rows, several, ["v"], "inner").select("query", "id", "ids")
-    members = singles.unionByName(copies).join(merged, "query", "left")
-    own = F.transform(F.coalesce("ids", F.array().cast("array<string>")), lambda i: F.struct(i.alias("id"), F.lit(1.0).alias("s")))
-    every_one = F.filter(F.concat(own, F.coalesce("best", F.array().cast("array<struct<id:string,s:double>>"))), lambda x: x["id"] != F.col("id"))
-    top = members.select("id", F.explode(F.slice(F.array_sort(every_one, better), 1, k)).alias("n"))
+    found = tiled(asks, "query", 1).groupBy("tile").cogroup(tiled(data, "n", 0).groupBy("tile")).applyInPandas(tile, "query bigint, best array<struct<n:bigint, s:double>>")
+
+    def better(by: str):
+        return lambda a, b: F.when(a["s"] > b["s"], -1).when(a["s"] < b["s"], 1).when(a[by] < b[by], -1).when(a[by] > b[by], 1).otherwise(0)
+
+    merged = found.groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best")), better("n")), 1, k).alias("best"))  # at most k for each group asked
+    names = classes.select("n", "ids")
+    near = merged.select("query", F.explode("best").alias("b")).select("query", F.col("b.n").alias("n"), F.col("b.s").alias("s")).join(names, "n")
+    near = near.groupBy("query").agg(F.flatten(F.collect_list(F.transform(F.slice("ids", 1, k), lambda i: F.struct(i.alias("id"), F.col("s").alias("s"))))).alias("best"))
+    listed = names.withColumnRenamed("n", "query").join(near, "query", "left").withColumn("best", F.coalesce("best", F.array().cast("array<struct<id:string,s:double>>")))
+    several = classes.where(F.size("ids") > 1).select(F.col("n").alias("query"), "v")
+    copies = skew_join(rows, several, ["v"], "inner").select("query", "id")
+    members = listed.where(F.size("ids") == 1).withColumn("id", F.col("ids")[0]).unionByName(copies.join(listed, "query").select("query", "ids", "best", "id"))
+    own = F.transform("ids", lambda i: F.struct(i.alias("id"), F.lit(1.0).alias("s")))
+    every_one = F.filter(F.concat(own, "best"), lambda x: x["id"] != F.col("id"))
+    top = members.select("id", F.explode(F.slice(F.array_sort(every_one, better("id")), 1, k)).alias("n"))
     return top.select("id", F.col("n.id").alias("neighbour"), F.col("n.s").alias("similarity"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.llm.credentials import credential_lines, redact
 from skein.llm.docpairs import documented_symbols, function_pairs
 from skein.llm.leaks import leaks
 from skein.llm.mixing import mix
@@ -12,6 +13,17 @@ from skein.llm.neighbours import neighbour_pairs, similar_vectors
 from skein.sources.tables import table
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = credential_lines(table(spark, sf_dir, "chunks", "id", "text_content"), "id", "text_content")
+    return rows.select(F.col("id").alias("chunk_id"), "line").distinct()
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks as they may be passed on; only those that change, with how many bytes they hold then."""
+    rows = redact(table(spark, sf_dir, "chunks", "id", "text_content"), "text_content")
+    return rows.where("redacted <> text_content").select(F.col("id").alias("chunk_id"), "redacted", F.octet_length("redacted").alias("bytes")).distinct()
+
+
 def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors(table(spark, sf_dir, "chunks", "id", "embedding"), "id", "embedding", 64)
 
@@ -51,5 +63,5 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"), table(spark, sf_dir, "mix_targets"))[1]
 
 
-QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_found": p7_found, "p7_items": p7_items, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
+QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_found": p7_found, "p7_items": p7_items, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
 SQL: dict[str, str] = {}
