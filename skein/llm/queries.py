@@ -10,9 +10,31 @@ from skein.llm.docpairs import documented_symbols, function_pairs
 from skein.llm.leaks import leaks
 from skein.llm.mixing import mix
 from skein.llm.neighbours import neighbour_pairs, similar_vectors
+from skein.llm.origin import file_origins
+from skein.llm.syntax import fault_rates, syntax_faults
 from skein.sources.tables import table
 
 
+def p3_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return file_origins(table(spark, sf_dir, "files", "path", "repo", "content"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_kinds(spark, sf_dir).select("path").distinct()
+
+
+def p4_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax_faults(table(spark, sf_dir, "files", "path", "extension", "content"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_faults(spark, sf_dir).select("path").distinct()
+
+
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fault_rates(table(spark, sf_dir, "files", "repo", "path", "extension"), p4_faults(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = credential_lines(table(spark, sf_dir, "chunks", "id", "text_content"), "id", "text_content")
     return rows.select(F.col("id").alias("chunk_id"), "line").distinct()
@@ -63,5 +85,5 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"), table(spark, sf_dir, "mix_targets"))[1]
 
 
-QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_found": p7_found, "p7_items": p7_items, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
+QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p3_found": p3_found, "p3_kinds": p3_kinds, "p4_found": p4_found, "p4_faults": p4_faults, "p4_rates": p4_rates, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_found": p7_found, "p7_items": p7_items, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
 SQL: dict[str, str] = {}
