@@ -31,7 +31,7 @@ from skein.session import materialize
 SAMPLE_PER_BLOCK = 24
 MAX_BLOCKS = 4096
 BLOCKS_PER_GROUP = 32
-TILE_DATA, TILE_QUERIES = 32_768, 32_768
+TILE_DATA, TILE_QUERIES = 32_768, 49_152
 STEP = 1024
 
 
@@ -112,9 +112,9 @@ def similar_vectors(df: DataFrame, identity: str, vector: str, size: int, k: int
     own neighbour. With fewer than k + 1 usable ids, each gets those there are. An empty table gives no rows.
     """
     spark = df.sparkSession
-    rows = usable(df.where(F.col(identity).isNotNull()).select(F.col(identity).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("v")), "v", size).distinct()
-    ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("place") <= k + 1)
-    classes = ranked.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).orderBy(F.col("ids")[0])
+    rows = usable(df.where(F.col(identity).isNotNull()).select(F.col(identity).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("v")), "v", size)
+    ranked = rows.withColumn("place", F.dense_rank().over(Window.partitionBy("v").orderBy("id"))).where(F.col("place") <= k + 1)
+    classes = ranked.groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("ids")).orderBy(F.col("ids")[0])
     classes = materialize(classes.withColumn("n", F.monotonically_increasing_id()), "vectors")  # n follows the order of the ids
     total = classes.count()
     if total == 0:
@@ -202,7 +202,7 @@ def similar_vectors(df: DataFrame, identity: str, vector: str, size: int, k: int
     near = near.groupBy("query").agg(F.flatten(F.collect_list(F.transform(F.slice("ids", 1, k), lambda i: F.struct(i.alias("id"), F.col("s").alias("s"))))).alias("best"))
     listed = names.withColumnRenamed("n", "query").join(near, "query", "left").withColumn("best", F.coalesce("best", F.array().cast("array<struct<id:string,s:double>>")))
     several = classes.where(F.size("ids") > 1).select(F.col("n").alias("query"), "v")
-    copies = skew_join(rows, several, ["v"], "inner").select("query", "id")
+    copies = skew_join(rows, several, ["v"], "inner").select("query", "id").distinct()
     members = listed.where(F.size("ids") == 1).withColumn("id", F.col("ids")[0]).unionByName(copies.join(listed, "query").select("query", "ids", "best", "id"))
     own = F.transform("ids", lambda i: F.struct(i.alias("id"), F.lit(1.0).alias("s")))
     every_one = F.filter(F.concat(own, "best"), lambda x: x["id"] != F.col("id"))

@@ -201,6 +201,7 @@ def directories(nodes: DataFrame) -> DataFrame | None:
         if level is not None:
             here = here.unionByName(level)
         here = here.groupBy("owner", "dir").agg(F.xxhash64(F.sum("sum"), F.sum("n")).alias("hash"), F.sum("weight").alias("weight"), F.sum("n").alias("n"))
+        here = materialize(here, "level")  # one row for each directory of this depth
         kept = here.where(f"weight >= {LEAST_DIRECTORY} AND n >= 2").select("owner", "dir", "hash")
         every = kept if every is None else every.unionByName(kept)
         level = here.select("owner", F.regexp_replace("dir", "/?[^/]*$", "").alias("dir"), F.xxhash64("hash").cast("decimal(20,0)").alias("sum"), "weight", "n")

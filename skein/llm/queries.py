@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.credentials import credential_lines, redact
 from skein.llm.docpairs import documented_symbols, function_pairs
+from skein.llm.languages import document_languages, fit, language_faults
 from skein.llm.leaks import leaks
 from skein.llm.mixing import mix
 from skein.llm.neighbours import neighbour_pairs, similar_vectors
@@ -85,5 +86,15 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"), table(spark, sf_dir, "mix_targets"))[1]
 
 
-QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p3_found": p3_found, "p3_kinds": p3_kinds, "p4_found": p4_found, "p4_faults": p4_faults, "p4_rates": p4_rates, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_found": p7_found, "p7_items": p7_items, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return language_faults(documents, fit(documents)).select("doc_id", "lang").distinct()
+
+
+def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return document_languages(documents, fit(documents))
+
+
+QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p3_found": p3_found, "p3_kinds": p3_kinds, "p4_found": p4_found, "p4_faults": p4_faults, "p4_rates": p4_rates, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_found": p7_found, "p7_items": p7_items, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_segments": p9_segments}
 SQL: dict[str, str] = {}
