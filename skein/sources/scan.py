@@ -44,7 +44,7 @@ def discover_files(spark: SparkSession, root: str) -> DataFrame:
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rows = rows.withColumn("path", F.element_at(F.split("path", base.replace("file://", ""), 2), -1))
     kept = rows.where(~skipped(F.col("path")) & language(F.col("path")).isNotNull() & ~is_binary(F.col("content")))
-    return kept.select("path", extension(F.col("path")).alias("extension"), language(F.col("path")).alias("language"), grammar(F.col("path")).alias("grammar"), content_hash(F.col("content")).alias("file_hash"), F.decode("content", "UTF-8").alias("content"))
+    return kept.select("path", extension(F.col("path")).alias("extension"), language(F.col("path")).alias("language"), grammar(F.col("path")).alias("grammar"), content_hash(F.col("content")).alias("file_hash"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def manual_glossary(spark: SparkSession, path: str) -> DataFrame:
