@@ -189,7 +189,7 @@ def similar_vectors(df: DataFrame, identity: str, vector: str, size: int, k: int
                 for x, best in lists.items():
                     out["query"].append(names[x])
                     out["best"].append([{"n": i, "s": -s} for s, i in heapq.nsmallest(k, best)])
-        return pd.DataFrame(out)
+        return pd.DataFrame({"query": pd.Series(out["query"], dtype="int64"), "best": pd.Series(out["best"], dtype=object)})
 
     found = tiled(asks, "query", 1).groupBy("tile").cogroup(tiled(data, "n", 0).groupBy("tile")).applyInPandas(tile, "query bigint, best array<struct<n:bigint, s:double>>")
 
