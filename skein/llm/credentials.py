@@ -33,6 +33,7 @@ ISSUED = re.compile(
     r"|AIza[\w-]{35}|glpat-[\w-]{20}|SG\.[\w-]{16,}\.[\w-]{16,}|hf_[A-Za-z0-9]{30,}|pypi-[\w-]{50,}|dop_v1_[0-9a-f]{64}|shp(?:at|ca|pa|ss)_[0-9a-fA-F]{32}|ya29\.[\w-]{20,}|sk-(?:ant-|proj-)?[A-Za-z0-9_-]{32,}"
     r"|eyJ[\w=-]{8,}\.eyJ[\w=-]{8,}\.[\w=-]{8,})"
 )
+_ISSUER = re.compile(r"(?:gh[opsur]|npm|[sr]k_(?:live|test))_[A-Za-z0-9]|(?:xox[abeoprs]|glpat)-[\w-]|github_pat_|eyJ[\w-]{8}")
 KEY_BLOCK = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----")
 KEY_END = re.compile(r"-----END ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----")
 _BODY_LINE = re.compile(r"[\s'\"`+*/#>|,]*[A-Za-z0-9+/=]{16,}[\s'\"`+,;\\n]*$")
@@ -72,6 +73,7 @@ _COMMENT_SECRET = re.compile(r"//[^\n]*\b(?:secret|private key|api key|signing k
 _COMMENT = re.compile(r"(?:(?<=\s)|^)(?://|/\*|\*|#|<!--)[^\n]*", re.M)
 _CONTINUES = re.compile(r"\s*\+\s*\n\s*(['\"`])([^'\"`\n]{1,2000})\1")
 _STARTS_INSIDE = re.compile(r"[ \t]*(['\"`])([A-Za-z0-9+/=_\-]{12,200})\1[ \t]*\+?[ \t]*[;,)]?[ \t]*(?:\r?\n|$)")
+_INSIDE_BLOCK = re.compile(r"(?:[A-Za-z0-9+/]{60,76}\r?\n){7,}")
 #: A text without any of these holds no credential in any notation; most texts end here.
 _HINT = re.compile(r"[\d!$%&*?#^]|-----")
 
@@ -89,12 +91,14 @@ def jumbled(value: str) -> bool:
 
 def password_like(value: str) -> bool:
     """A value that someone may have chosen: not a placeholder, a name, a path or a sentence, with a digit or a sign."""
-    if len(value) < 6 or re.search(r"\s", value) or _PLACEHOLDER.match(value) or "${" in value or "{{" in value or value.startswith(("process.", "env.", "http:", "https:", "/", "./", "../", "@", "data:")):
+    if len(value) < 6 or re.search(r"\s", value) or _PLACEHOLDER.match(value) or "${" in value or "{{" in value or value.startswith(("process.", "env.", "http:", "https:", "@", "data:")):
         return False
     if _UUID.match(value) or re.match(r"^sha\d{3}-", value) or re.match(r"^[\d.,:\-+ ]+$", value):
         return False
-    if jumbled(value):
+    if jumbled(value) or _ISSUER.match(value) and len(value) >= 12:
         return True
+    if re.match(r"^\.{0,2}/[\w./\-]*$", value):
+        return False
     mixed = re.search(r"[a-z]", value) and re.search(r"[A-Z]", value) and re.search(r"\d", value)
     if _NAME_LIKE.match(value) and not (opaque(value, 12) and (mixed or re.search(r"\d.*[a-z].*\d|[a-z]\d[a-z]", value)) and not re.match(r"^[a-z]+(?:[._\-][a-z0-9]+)+$", value)):
         return False
@@ -173,6 +177,14 @@ def find_credentials(text: str) -> list[Finding]:
             at += len(line) + 1
         if spans:
             found.append(Finding(spans[0][0], tuple(spans), "", "private key"))
+    elif not end and (body := _INSIDE_BLOCK.match(text)) and not KEY_BLOCK.search(text, 0, body.end()):
+        # more lines than a public key has
+        spans, at = [], 0
+        for line in body[0].split("\n"):
+            part = re.search(r"[A-Za-z0-9+/=]{16,}", line)
+            spans += [(at + part.start(), at + part.end())] if part else []
+            at += len(line) + 1
+        found.append(Finding(spans[0][0], tuple(spans), "", "private key"))
     inside = _STARTS_INSIDE.match(text)
     if inside and opaque(inside[2], 12) and not _NAME_LIKE.match(inside[2].rstrip("=")) | bool(re.match(r"^[a-z]+$", inside[2])):
         found.append(Finding(inside.start(2), (inside.span(2),), "", "split string"))
@@ -240,7 +252,7 @@ def find_credentials(text: str) -> list[Finding]:
             except (binascii.Error, ValueError):
                 ok = False
         else:
-            ok = opaque(value, 16) and not _NAME_LIKE.match(value) or bool(re.match(r"^[0-9a-f]{32,}$", value))
+            ok = opaque(value, 16) and (not _NAME_LIKE.match(value) or jumbled(value)) or bool(re.match(r"^[0-9a-f]{32,}$", value))
         if ok:
             add(m.start(2), m.end(2), m[1], "header")
     for c in _COMMENT.finditer(text):

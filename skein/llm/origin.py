@@ -35,11 +35,13 @@ _IDENTIFIER = re.compile(r"[A-Za-z_$][\w$]*")
 _NUMBER = re.compile(r"-?\b\d[\w.]*")
 _STRING = re.compile(r"'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"|`[^`\n]*`")
 _ACTIVE = re.compile(r"\b(?:function|class|return|import|require|if|for|while|switch|throw|await|new)\b|=>|(?<![=!<>])=(?!=)[^=]*\([^)]*\)\s*\{")
+_DECLARED = re.compile(r"\b(?:interface|enum)\s+\w|\btype\s+\w+\s*=")
+_STATEMENT = re.compile(r"(?m)^(?=(?:export\s+)?(?:default\s+)?(?:const|let|var|module\.exports)\b)")
 _JSON = re.compile(r"\s*[\[{]\s*(?:\"(?:[^\"\\]|\\.)*\"\s*[:,\]]|[\[{\]}]|-?\d)")
 #: What tools write at the top of the files they make, by the language of the notice.
 GENERATED = re.compile(
     r"^(?:@(?:auto-?)?generated\b|auto-?\s?generated\b|(?:code|file|source|module|types?|bindings|this (?:file|code|module|source))?\s*(?:(?:is|was|has been)\s+)?(?:automatically |auto-?\s?)?(?:generated|created|produced|built|emitted) (?:by|on|from|with|using|automatically)\b"
-    r"|(?:please )?(?:do not|don't|never) (?:edit|modify|change|touch)\b|.{0,80}\b(?:do not edit|do not modify|manual changes will be lost|changes will be overwritten)\b|source: \S+\.\w+$"
+    r"|output of [\w./-]+\.?$|(?:please )?(?:do not|don't|never) (?:edit|modify|change|touch)\b|.{0,80}\b(?:do not edit|do not modify|manual changes will be lost|changes will be overwritten)\b|source: \S+\.\w+$"
     r"|diese datei wurde .{0,60}(?:erzeugt|generiert|erstellt)|(?:bitte )?nicht (?:bearbeiten|ändern|verändern)\b|ce fichier (?:a été|est) .{0,20}(?:généré|produit|créé)|ne pas (?:modifier|éditer)\b|fichier généré"
     r"|(?:este (?:archivo|fichero|arquivo|ficheiro)|archivo|arquivo) .{0,30}(?:generado|gerado)|no (?:editar|modificar)\b|não (?:editar|modificar)\b|questo file .{0,30}generato|file generato|non (?:modificare|toccare)\b)",
     re.I,
@@ -112,12 +114,11 @@ def signs(text: str) -> list[str]:
                 out.add("data")
     literals = sum(len(m) for m in _LITERAL.findall(code))
     bare = _LITERAL.sub("", code)
-    if not _ACTIVE.search(bare) and len(solid) >= 300:
+    if not _ACTIVE.search(bare) and not _DECLARED.search(bare) and len(solid) >= 300:
         count, longest = len(_LITERAL.findall(code)), max(map(len, _LITERAL.findall(code) or [""]))
-        if literals / len(solid) >= 0.35 and (count >= 40 or longest >= 300):
+        largest = max(len(re.sub(r"\s+", "", part)) for part in _STATEMENT.split(code))
+        if literals / len(solid) >= 0.35 and (count >= 40 or longest >= 300) and largest >= 0.75 * len(solid):
             out.add("data")
-    elif longest_literals(code) >= 0.7 * len(solid) and len(solid) >= 600:
-        out.add("data")
     share, lines = regularity(code)
     if share >= 0.8 and lines >= 12:
         out.add("generated" if _ACTIVE.search(bare) else "data")
@@ -132,10 +133,6 @@ def signs(text: str) -> list[str]:
     return sorted(out)
 
 
-def longest_literals(code: str) -> int:
-    return sum(len(m) for m in _LITERAL.findall(code) if len(m) >= 300)
-
-
 def hashed(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
