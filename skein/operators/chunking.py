@@ -85,3 +85,12 @@ def long_line_pieces(df: DataFrame, identity: str, text: str, size: int) -> Data
     lines = df.select(identity, F.posexplode(F.split(text, "\n")).alias("_n", "_x")).select(identity, (F.col("_n") + 1).alias("line"), words(F.col("_x")).alias("_w")).where(F.size("_w") > size)
     cut = lines.select(identity, "line", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("_w") - 1, F.lit(size)), lambda i: F.slice("_w", i + 1, size))).alias("_p", "_s"))
     return cut.select(identity, "line", (F.col("_p") + 1).alias("piece"), F.size("_s").alias("words"), F.array_join("_s", " ").alias("text"))
+
+
+def merged_ranges(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """Ranges of each key with those that touch or overlap made one: key, start, end, parts. Null bounds take no part."""
+    rows = df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(key, start, end)
+    w = Window.partitionBy(key).orderBy(start, end)
+    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = rows.withColumn("_new", F.when(F.col(start) <= reach, 0).otherwise(1))
+    return marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("parts")).drop("_island")

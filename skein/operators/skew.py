@@ -12,30 +12,26 @@ HOT_ROWS = 20_000
 SALTS = 32
 
 
-def hot_keys(df: DataFrame, keys: list[str], share: int = HOT_SHARE, rows: int = HOT_ROWS) -> list[tuple]:
-    """Keys with more than ``max(rows, n / share)`` of the n rows; at most ``share`` of them.
+def hot_keys(df: DataFrame, keys: list[str], share: int = HOT_SHARE, rows: int = HOT_ROWS) -> list[int]:
+    """Hashes of the keys with more than ``max(rows, n / share)`` of the n rows; at most ``share`` of them.
 
-    The counts are combined before the shuffle, so a hot key costs one partial row per task.
-    Rows with a null in a key are never hot. An empty table has no hot keys.
+    The counts are combined before the shuffle, so a hot key costs one partial row per task. Rows with a null
+    in a key are never hot. An empty table has no hot keys. Keys may be of any type that can be grouped.
     """
     counts = df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).groupBy(*keys).count().where(F.col("count") > rows)
-    top = counts.orderBy(F.desc("count")).limit(share).collect()
+    top = counts.orderBy(F.desc("count")).limit(share).select(F.xxhash64(*keys).alias("h"), "count").collect()
     if not top:
         return []
     total = df.count()
-    return [tuple(r[k] for k in keys) for r in top if r["count"] * share > total]
+    return [r["h"] for r in top if r["count"] * share > total]
 
 
-def _is_hot(keys: list[str], hot: list[tuple]) -> Column:
-    if len(keys) == 1:
-        return F.coalesce(F.col(keys[0]).isin([h[0] for h in hot]), F.lit(False))
-    tag = F.to_json(F.array(*[F.col(k).cast("string") for k in keys]))
-    import json
+def _is_hot(keys: list[str], hot: list[int]) -> Column:
+    """By hash: another key of the same hash is salted on both sides too, which changes no result."""
+    return F.xxhash64(*keys).isin(hot)
 
-    return F.coalesce(tag.isin([json.dumps([str(x) for x in h], separators=(",", ":"), ensure_ascii=False) for h in hot]), F.lit(False))
 
-
-def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", salts: int = SALTS, hot: list[tuple] | None = None) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", salts: int = SALTS, hot: list[int] | None = None) -> DataFrame:
     """Equi-join of a possibly skewed ``left`` with a ``right`` that has few rows for each key.
 
     Rows of hot keys get a salt from their own content on the left and are repeated for each salt on the
@@ -47,6 +43,8 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "le
     hot = hot_keys(left, keys) if hot is None else hot
     if not hot:
         return left.join(right, keys, how)
+    kinds = dict(left.dtypes)
+    right = right.withColumns({k: F.col(k).cast(kinds[k]) for k, t in right.dtypes if k in keys and t != kinds[k]})
     salt = F.when(_is_hot(keys, hot), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, t in left.dtypes if "map<" not in t]), F.lit(salts))).otherwise(F.lit(0))
     copies = F.when(_is_hot(keys, hot), F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))
     return left.withColumn("_salt", salt.cast("bigint")).join(right.withColumn("_salt", F.explode(copies)), [*keys, "_salt"], how).drop("_salt")

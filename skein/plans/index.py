@@ -133,7 +133,8 @@ def pipeline_stats(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "files", "path", "content", "language").dropDuplicates(["path"])
     c = table(spark, d, "chunks", "id", "embedding", "token_count").dropDuplicates(["id"])
     files = f.agg(F.count("*").alias("files_scanned"), F.count_if(F.length("content") > 0).alias("files_parsed"), F.count_distinct("language").alias("languages"))
-    return files.join(c.agg(F.count("*").alias("chunks_created"), F.count("embedding").alias("chunks_embedded"), F.sum("token_count").alias("tokens")))  # one row each
+    both = files.unionByName(c.agg(F.count("*").alias("chunks_created"), F.count("embedding").alias("chunks_embedded"), F.sum("token_count").alias("tokens")), allowMissingColumns=True)
+    return both.agg(*[F.max(x).alias(x) for x in both.columns])
 
 
 def strip_comments(spark: SparkSession, d: str) -> DataFrame:
@@ -148,6 +149,20 @@ def extracted_nodes(spark: SparkSession, d: str) -> DataFrame:
     return parse.extracted_nodes(table(spark, d, "files", "path", "content"))
 
 
+def merged_ranges(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.merged_ranges(table(spark, d, "chunks", "file_path", "start_line", "end_line").distinct(), "file_path", "start_line", "end_line")
+
+
+def locations(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "chunks", "id", "file_path", "start_line", "end_line")
+    return c.select("id", text.location(F.col("file_path"), F.col("start_line"), F.col("end_line")).alias("location")).distinct()
+
+
+def first_export_lines(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "files", "path", "content").where("contains(content, 'export ')")
+    return f.select("path", text.line_of(F.col("content"), F.expr("position('export ' IN content) - 1")).alias("line")).distinct()
+
+
 _SKIP = ", ".join(f"'{x}'" for x in scan.SKIPPED)
 _EXT = "lower(regexp_extract(path, '[^/](\\.[^./]*)$', 1))"
 _CASE = lambda k: "CASE " + _EXT + " " + " ".join(f"WHEN '{e}' THEN '{v[k]}'" for e, v in scan.ENDINGS.items()) + " END"
@@ -155,7 +170,7 @@ _OPENED = "(length(x) - length(translate(x, '{([', ''))) - (length(x) - length(t
 
 QUERIES = {
     f.__name__: f
-    for f in (uuid5_file_ids, uuid5_node_ids, uuid5_chunk_ids, content_hash16, collection_names, file_scan_filter, binary_files, fnmatch_filter, line_counts, token_counts, nesting_depths, long_line_split, chunk_greedy, chunk_numbering, ordered_dedupe_cap, upsert_last_wins, scroll_page, point_lookup, collection_info, unique_id_violations, prefix_passages, hashing_embed, pipeline_stats, strip_comments, file_metadata, extracted_nodes)
+    for f in (uuid5_file_ids, uuid5_node_ids, uuid5_chunk_ids, content_hash16, collection_names, file_scan_filter, binary_files, fnmatch_filter, line_counts, token_counts, nesting_depths, long_line_split, chunk_greedy, chunk_numbering, ordered_dedupe_cap, upsert_last_wins, scroll_page, point_lookup, collection_info, unique_id_violations, prefix_passages, hashing_embed, pipeline_stats, strip_comments, file_metadata, extracted_nodes, merged_ranges, locations, first_export_lines)
 }
 SQL = {
     "uuid5_file_ids": f"WITH x AS (SELECT DISTINCT id, path, {_SHA.format("path || ':File:' || path || ':1'")} AS h FROM files) SELECT path, {_UUID} AS computed, {_UUID} = id AS matches FROM x",
@@ -178,6 +193,10 @@ SQL = {
         SELECT path, coalesce((SELECT string_agg(v, '|' ORDER BY n) FROM r WHERE r.path = x.path AND k <= 5), '') AS kept FROM x""",
     "upsert_last_wins": "SELECT DISTINCT ON (id) id, label, name, start_line, indexed_at FROM nodes ORDER BY id, indexed_at DESC",
     "scroll_page": "WITH x AS (SELECT DISTINCT id, file_path, language, chunk_index FROM chunks WHERE language = 'typescript' AND id >= '8' ORDER BY id LIMIT 21) SELECT *, row_number() OVER (ORDER BY id) = 21 AS is_next FROM x",
+    "merged_ranges": """WITH r AS (SELECT DISTINCT file_path, start_line, end_line FROM chunks WHERE start_line IS NOT NULL AND end_line IS NOT NULL), m AS (SELECT *, CASE WHEN start_line <= max(end_line) OVER (PARTITION BY file_path ORDER BY start_line, end_line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM r),
+        i AS (SELECT *, sum(n) OVER (PARTITION BY file_path ORDER BY start_line, end_line ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT file_path, min(start_line) AS start_line, max(end_line) AS end_line, count(*) AS parts FROM i GROUP BY file_path, k""",
+    "locations": "SELECT DISTINCT id, array_to_string(list_slice(string_split(file_path, '/'), greatest(len(string_split(file_path, '/')) - 1, 1), len(string_split(file_path, '/'))), '/') || CASE WHEN start_line > 0 THEN ':' || start_line || '-' || end_line ELSE '' END AS location FROM chunks",
+    "first_export_lines": "SELECT DISTINCT path, 1 + length(left(content, strpos(content, 'export ') - 1)) - length(replace(left(content, strpos(content, 'export ') - 1), chr(10), '')) AS line FROM files WHERE contains(content, 'export ')",
     "point_lookup": "SELECT DISTINCT id, file_path, start_line, end_line, text_content FROM chunks WHERE id = (SELECT min(id) FROM chunks)",
     "collection_info": "WITH x AS (SELECT DISTINCT ON (id) id, embedding FROM chunks) SELECT count(*) AS points_count, max(len(embedding)) AS vector_size, count(embedding) AS with_vector, 'Cosine' AS distance FROM x",
     "unique_id_violations": "SELECT label, id, count(*) AS count FROM nodes GROUP BY ALL HAVING count(*) > 1",

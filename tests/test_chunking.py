@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from skein.operators.chunking import chunk_text, long_line_pieces, number_chunks
+from skein.operators.chunking import chunk_text, long_line_pieces, merged_ranges, number_chunks
 
 
 def brute(text, size, overlap):
@@ -50,3 +50,8 @@ def test_numbering_and_pieces(spark, rows):
     assert rows(number_chunks(df, "file_path", "start_line")) == [("f", 1, 1, 2), ("f", 5, 2, 2), ("g", 3, 1, 1)]
     df = spark.createDataFrame([(1, "a b c d e\nshort\n"), (2, None)], "id int, t string")
     assert rows(long_line_pieces(df, "id", "t", 2)) == [(1, 1, 1, 2, "a b"), (1, 1, 2, 2, "c d"), (1, 1, 3, 1, "e")]
+
+
+def test_merged_ranges(spark, rows):
+    df = spark.createDataFrame([("f", 1, 5), ("f", 3, 4), ("f", 5, 9), ("f", 11, 12), ("g", 2, 2), ("g", None, 3)], "k string, a int, b int")
+    assert rows(merged_ranges(df, "k", "a", "b")) == [("f", 1, 9, 3), ("f", 11, 12, 1), ("g", 2, 2, 1)]
