@@ -40,14 +40,15 @@ _STATEMENT = re.compile(r"(?m)^(?=(?:export\s+)?(?:default\s+)?(?:const|let|var|
 _JSON = re.compile(r"\s*[\[{]\s*(?:\"(?:[^\"\\]|\\.)*\"\s*[:,\]]|[\[{\]}]|-?\d)")
 #: What tools write at the top of the files they make, by the language of the notice.
 GENERATED = re.compile(
-    r"^(?:@(?:auto-?)?generated\b|auto-?\s?generated\b|(?:code|file|source|module|types?|bindings|this (?:file|code|module|source))?\s*(?:(?:is|was|has been)\s+)?(?:automatically |auto-?\s?)?(?:generated|created|produced|built|emitted) (?:by|on|from|with|using|automatically)\b"
-    r"|output of [\w./-]+\.?$|(?:please )?(?:do not|don't|never) (?:edit|modify|change|touch)\b|.{0,80}\b(?:do not edit|do not modify|manual changes will be lost|changes will be overwritten)\b|source: \S+\.\w+$"
+    r"^(?:@(?:auto-?)?generated\b|auto-?\s?generated\b|(?:code|file|source|module|types?|bindings)?\s*(?:automatically |auto-?\s?)?(?:generated|produced|emitted) (?:by|on|from|with|using|automatically)\b"
+    r"|this (?:file|code|module|source) (?:is|was|has been) (?:(?:automatically |auto-?\s?)?(?:generated|produced|emitted)|automatically (?:created|built|written))\b"
+    r"|output of [\w./-]+\.?$|(?:please )?(?:do not|don't|never) (?:edit|modify|change|touch)(?:\s+(?:this|the|file|it|by|hand|manually|directly|here))*\s*[.!]*$|.{0,80}\b(?:do not edit|do not modify(?: by hand)?|manual changes will be lost|changes will be overwritten)[.!]*$|source: \S+\.\w+$"
     r"|diese datei wurde .{0,60}(?:erzeugt|generiert|erstellt)|(?:bitte )?nicht (?:bearbeiten|ändern|verändern)\b|ce fichier (?:a été|est) .{0,20}(?:généré|produit|créé)|ne pas (?:modifier|éditer)\b|fichier généré"
     r"|(?:este (?:archivo|fichero|arquivo|ficheiro)|archivo|arquivo) .{0,30}(?:generado|gerado)|no (?:editar|modificar)\b|não (?:editar|modificar)\b|questo file .{0,30}generato|file generato|non (?:modificare|toccare)\b)",
     re.I,
 )
 FOREIGN = re.compile(
-    r"^(?:taken|copied|adapted|vendored|imported|extracted|backported|borrowed) from\b|^(?:vendored|third[- ]party)\b|^@license\b|^@preserve\b|^released under\b|^licensed under\b|^permission is hereby\b|\b(?:contributors|and other authors)\b"
+    r"^(?:taken|copied|adapted|vendored|imported|extracted|backported|borrowed) from\b|^(?:vendored|third[- ]party)\b|^@license\b|^@preserve\b|^released under\b|^licensed under\b|^permission is hereby\b|\bthe [\w.-]+ (?:contributors|authors)\b|\band other authors\b"
     r"|^[\w.@/-]+ v?\d+\.\d+(?:\.\d+)?\s*(?:\||-|\(c\)|$)|^(?:bundled|minified) (?:from|by)\b",
     re.I,
 )

@@ -103,6 +103,9 @@ LIB = "".join(f"function part{i}(v, o) {{\n  var a = o && o.k{i};\n  for (var j
 def test_signs():
     assert origin.signs(HAND) == [] == origin.signs("") == origin.signs(".a {\n  color: red;\n}\n" * 3)
     assert "generated" in origin.signs("// Code generated by tool. DO NOT EDIT.\n" + HAND)
+    assert origin.signs("// Created by the core team. Do not change the order below.\n" + HAND) == []
+    assert "generated" in origin.signs("// Source: shelf.idl\n// Do not modify by hand.\n" + HAND)
+    assert "generated" in origin.signs("// This file was automatically created by tool; manual changes will be lost.\n" + HAND)
     assert "generated" in origin.signs("/* eslint-disable */\n// Diese Datei wurde von tool erzeugt. Bitte nicht bearbeiten.\n" + HAND)
     assert "foreign" in origin.signs("/*!\n * lib v5.7.0\n * Released under the MIT license, The Lib Contributors\n */\n" + HAND)
     assert origin.signs("// Copyright 2021 Acme team. Internal use.\n" + HAND) == []
