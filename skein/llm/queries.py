@@ -16,8 +16,14 @@ from skein.llm.syntax import fault_rates, syntax_faults
 from skein.sources.tables import table
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores is dealt out to all of them; larger tables stay where they lie."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def p3_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return file_origins(table(spark, sf_dir, "files", "path", "repo", "content"))
+    return file_origins(spread(table(spark, sf_dir, "files", "path", "repo", "content")))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +31,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return syntax_faults(table(spark, sf_dir, "files", "path", "extension", "content"))
+    return syntax_faults(spread(table(spark, sf_dir, "files", "path", "extension", "content")))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,13 +43,13 @@ def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = credential_lines(table(spark, sf_dir, "chunks", "id", "text_content"), "id", "text_content")
+    rows = credential_lines(spread(table(spark, sf_dir, "chunks", "id", "text_content")), "id", "text_content")
     return rows.select(F.col("id").alias("chunk_id"), "line").distinct()
 
 
 def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks as they may be passed on; only those that change, with how many bytes they hold then."""
-    rows = redact(table(spark, sf_dir, "chunks", "id", "text_content"), "text_content")
+    rows = redact(spread(table(spark, sf_dir, "chunks", "id", "text_content")), "text_content")
     return rows.where("redacted <> text_content").select(F.col("id").alias("chunk_id"), "redacted", F.octet_length("redacted").alias("bytes")).distinct()
 
 
@@ -58,11 +64,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     symbols = table(spark, sf_dir, "nodes", "id", "label", "file_path", "name", "start_line").where(F.col("label").isin("Function", "Method"))
     symbols = symbols.select("id", F.col("file_path").alias("path"), "name", F.col("start_line").alias("line"))
-    return documented_symbols(table(spark, sf_dir, "files", "path", "content"), symbols).select("symbol_id").distinct()
+    return documented_symbols(spread(table(spark, sf_dir, "files", "path", "content")), symbols).select("symbol_id").distinct()
 
 
 def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return function_pairs(table(spark, sf_dir, "files", "path", "content"))
+    return function_pairs(spread(table(spark, sf_dir, "files", "path", "content")))
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,12 +93,12 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    documents = spread(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
     return language_faults(documents, fit(documents)).select("doc_id", "lang").distinct()
 
 
 def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    documents = spread(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
     return document_languages(documents, fit(documents))
 
 
