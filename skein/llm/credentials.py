@@ -30,7 +30,7 @@ class Finding(NamedTuple):
 #: Prefixes and shapes that issuers give to their keys and tokens.
 ISSUED = re.compile(
     r"(?:gh[opsur]_[A-Za-z0-9]{30,}|github_pat_\w{22,}|npm_[A-Za-z0-9]{30,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|xox[abeoprs]-[A-Za-z0-9-]{10,}|(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{16}(?![A-Za-z0-9])"
-    r"|AIza[\w-]{35}|glpat-[\w-]{20}|SG\.[\w-]{16,}\.[\w-]{16,}|hf_[A-Za-z0-9]{30,}|pypi-[\w-]{50,}|dop_v1_[0-9a-f]{64}|shp(?:at|ca|pa|ss)_[0-9a-fA-F]{32}|ya29\.[\w-]{20,}|sk-(?:ant-|proj-)?[A-Za-z0-9_-]{32,}"
+    r"|AIza[\w-]{35,}|glpat-[\w-]{20,}|SG\.[\w-]{16,}\.[\w-]{16,}|hf_[A-Za-z0-9]{30,}|pypi-[\w-]{50,}|dop_v1_[0-9a-f]{64}|shp(?:at|ca|pa|ss)_[0-9a-fA-F]{32}|ya29\.[\w-]{20,}|sk-(?:ant-|proj-)?[A-Za-z0-9_-]{32,}"
     r"|eyJ[\w=-]{8,}\.eyJ[\w=-]{8,}\.[\w=-]{8,})"
 )
 _ISSUER = re.compile(r"(?:gh[opsur]|npm|[sr]k_(?:live|test))_[A-Za-z0-9]|(?:xox[abeoprs]|glpat)-[\w-]|github_pat_|eyJ[\w-]{8}")
@@ -55,27 +55,32 @@ _PLACEHOLDER = re.compile(
 _NAME_LIKE = re.compile(r"^[@./]?[A-Za-z]+(?:[._/:\-][A-Za-z0-9]+)*$|^[a-z]+(?:[._\-][a-z0-9]+)+$|^[A-Z]+(?:_[A-Z0-9]+)+$")
 _UUID = re.compile(r"^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$", re.I)
 
-_STRING = re.compile(r"'((?:[^'\\\n]|\\.){6,2000})'|\"((?:[^\"\\\n]|\\.){6,2000})\"|`((?:[^`\\\n]|\\.){6,2000})`")
+#: Every literal on one line, of any length, so that the quotes pair up. A quote that opens does not follow a word
+#: (but for a few keywords) and one that closes does not precede one: apostrophes, and texts that begin within a
+#: literal, put only themselves out of step. Expressions are passed over with their quotes.
+_OPENS = "(?:(?<!\\w{0})|" + "|".join(rf"(?<=\b{word}{{0}})" for word in ("return", "case", "typeof", "throw", "default", "yield", "await", "from", "import")) + ")"
+_STRING = re.compile(
+    r"/(?:(?<=[(,=:\[!&|?;{}]/)|(?<=[(,=:\[!&|?;{}][ \t]/))(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
+    rf"|'{_OPENS.format("'")}((?:[^'\\\n]|\\.)*+)'(?!\w)|\"{_OPENS.format(chr(34))}((?:[^\"\\\n]|\\.)*+)\"(?!\w)|`((?:[^`\\\n]|\\.)*+)`"
+)
 _KEY_BEFORE = re.compile(r"(?:([\w$À-ÿ][\w$À-ÿ.\-]*)|['\"]([^'\"\n]{1,80})['\"])\]?\s*(?:\?)?(?::\s*[\w<>\[\]| ]{1,40}=|[:=](?![=>]))\s*(?:[^'\"`;,{}\n]*?(?:\?\?|\|\||\?[^:\n]*:)\s*|[\w.$]+\(\s*)?$")
 _INNER_ENTRY = re.compile(r"\\?\"([\w.\-]{1,60})\\?\"\s*:\s*\\?\"((?:[^\"\\]|\\[^\"])*)\\?\"")
 _CALL_BEFORE = re.compile(r"(?:\b|_)(?:log_?in|sign_?in|log_?on|authenticate|auth|connect\w*|basic_?auth|set_?credentials|with_?credentials|bind)\w{0,8}\(\s*['\"`][^'\"`\n]{1,80}['\"`]\s*,\s*$", re.I)
-_USERINFO = re.compile(r"[a-z][a-z0-9+.\-]{1,20}://[^\s/:@'\"`<>]*:([^\s/@'\"`]{3,200})@", re.I)
-_QUERY = re.compile(r"[?&]((?:[\w\-]*(?:token|key|secret|password|passwd|pwd|sig|signature|auth))|code|session\w*)=([^&\s'\"`#)]{6,400})", re.I)
-_HEADER = re.compile(r"\b(Basic|Bearer|Token)\s+([A-Za-z0-9+/._~=\-]{8,2000})", re.I)
-_ENV = re.compile(r"(?:\bexport\s+|\bset\s+|^[\s/*#>\-]*|\benv\s+)([A-Za-z_][\w.]{2,60})\s*=\s*['\"]?([^\s'\"`;,]{6,400})", re.M)
+_USERINFO = re.compile(r"[a-z][a-z0-9+.\-]{1,20}://[^\s/:@'\"`<>]*:([^\s/@'\"`]{3,})@", re.I)
+_QUERY = re.compile(r"[?&]((?:[\w\-]*(?:token|key|secret|password|passwd|pwd|sig|signature|auth))|code|session\w*)=([^&\s'\"`#)]{6,})", re.I)
+_HEADER = re.compile(r"\b(Basic|Bearer|Token)\s+([A-Za-z0-9+/._~=\-]{8,})", re.I)
+_ENV = re.compile(r"(?:\bexport\s+|\bset\s+|^[\s/*#>\-]*|\benv\s+)([A-Za-z_][\w.]{2,60})\s*=\s*['\"]?([^\s'\"`;,]{6,})", re.M)
 _SAID = re.compile(
     r"\b(pass(?:word|wd|phrase|code)?|pwd|pw|secret|token|api[ _-]?key|key|log-?in|credentials?|kennwort|passwort|mot de passe|mdp|senha|contraseña|contrasena|clave|parola)\b"
-    r"(?:\s+(?:for|of|on|to|in|at)\s+[\w.\-]+)?\s*(?:\b(?:is|was|are|were|ist|war|est|era|es)\b|[:=])\s*(?:['\"`])?(?:[\w.@\-]{2,40}\s+/\s+|[\w.@\-]{2,40}:(?=\S))?([^\s'\"`]{6,200})",
+    r"(?:\s+(?:for|of|on|to|in|at)\s+[\w.\-]+)?\s*(?:\b(?:is|was|are|were|ist|war|est|era|es)\b|[:=])\s*(?:['\"`])?(?:[\w.@\-]{2,40}\s+/\s+|[\w.@\-]{2,40}:(?=\S))?([^\s'\"`]{6,})",
     re.I,
 )
-_OPTION = re.compile(r"--?(?:password|passwd|token|secret|api-?key|auth)(?:=|\s+)['\"]?([^\s'\"`]{6,200})|\bcurl\b[^\n]*?\s-u\s+['\"]?[\w.@\-]+:([^\s'\"`]{6,200})", re.I)
+_OPTION = re.compile(r"--?(?:password|passwd|token|secret|api-?key|auth)(?:=|\s+)['\"]?([^\s'\"`]{6,})|\bcurl\b[^\n]*?\s-u\s+['\"]?[\w.@\-]+:([^\s'\"`]{6,})", re.I)
 _COMMENT_SECRET = re.compile(r"//[^\n]*\b(?:secret|private key|api key|signing key|encryption key|password|credentials?)\b|/\*[^\n]*\b(?:secret|password|private key)\b", re.I)
 _COMMENT = re.compile(r"(?:(?<=\s)|^)(?://|/\*|\*|#|<!--)[^\n]*", re.M)
-_CONTINUES = re.compile(r"\s*\+\s*\n\s*(['\"`])([^'\"`\n]{1,2000})\1")
-_STARTS_INSIDE = re.compile(r"[ \t]*(['\"`])([A-Za-z0-9+/=_\-]{12,200})\1[ \t]*\+?[ \t]*[;,)]?[ \t]*(?:\r?\n|$)")
+_CONTINUES = re.compile(r"\s*\+\s*\n\s*(['\"`])([^'\"`\n]+)\1")
+_STARTS_INSIDE = re.compile(r"[ \t]*(['\"`])([A-Za-z0-9+/=_\-]{12,})\1[ \t]*\+?[ \t]*[;,)]?[ \t]*(?:\r?\n|$)")
 _INSIDE_BLOCK = re.compile(r"(?:[A-Za-z0-9+/]{60,76}\r?\n){7,}")
-#: A text without any of these holds no credential in any notation; most texts end here.
-_HINT = re.compile(r"[\d!$%&*?#^]|-----")
 
 
 def opaque(value: str, least: int) -> bool:
@@ -161,7 +166,7 @@ def _key_block(text: str, m: re.Match[str]) -> Finding | None:
 
 def find_credentials(text: str) -> list[Finding]:
     """All credentials of a text, by where they begin; none overlap."""
-    if not text or not _HINT.search(text):
+    if not text:
         return []
     found: list[Finding] = []
     # a text that begins inside a key block or a split string
@@ -186,7 +191,7 @@ def find_credentials(text: str) -> list[Finding]:
             at += len(line) + 1
         found.append(Finding(spans[0][0], tuple(spans), "", "private key"))
     inside = _STARTS_INSIDE.match(text)
-    if inside and opaque(inside[2], 12) and not _NAME_LIKE.match(inside[2].rstrip("=")) | bool(re.match(r"^[a-z]+$", inside[2])):
+    if inside and opaque(inside[2], 12) and not _NAME_LIKE.match(inside[2].rstrip("=")) and not re.match(r"^[a-z]+$", inside[2]):
         found.append(Finding(inside.start(2), (inside.span(2),), "", "split string"))
     elif inside and opaque(inside[2], 12) and re.search(r"[a-z]\d|\d[a-z]", inside[2]) and not re.search(r"[/\-]", inside[2]):
         found.append(Finding(inside.start(2), (inside.span(2),), "", "split string"))
@@ -207,6 +212,8 @@ def find_credentials(text: str) -> list[Finding]:
             add(m.start(), m.end(), "", "issued")
     for m in _STRING.finditer(text):
         group = m.lastindex
+        if group is None or m.end(group) - m.start(group) < 6:
+            continue
         value, start, stop = m[group], m.start(group), m.end(group)
         if " " in value and '"' not in value:
             continue
@@ -219,6 +226,9 @@ def find_credentials(text: str) -> list[Finding]:
             continue
         if m.start() - line <= 240 and before.count("'") % 2 and text[m.start()] != "'":
             continue  # inside another string
+        likely = password_like(value)
+        if not likely and (len(value) < 24 or not re.match(r"^[A-Za-z0-9+/=_\-]+$", value)):
+            continue
         key = _KEY_BEFORE.search(before)
         if key:
             name = key[1] or key[2]
@@ -227,7 +237,7 @@ def find_credentials(text: str) -> list[Finding]:
             if not strong and fallback:
                 source = re.search(r"(?:env|config|settings|options|vault|secrets?)\b[\w.$\[\]'\"(]*?[.\['\"(]([\w$]+)['\")\]]*\s*(?:\?\?|\|\|)\s*$", before)
                 strong = bool(source) and (sensitive(source[1]) or re.search(r"(?i)key$", source[1]) is not None and name.lower().endswith("key"))
-            if strong and password_like(value):
+            if strong and likely:
                 add(start, stop, key_path(text, m.start(), name), "entry")
             elif re.search(r"(?i)(?<!public)(?<!public_)key$", name) and re.match(r"^[A-Za-z0-9+/=_\-]{24,}$", value) and all(re.search(x, value) for x in ("[a-z]", "[A-Z]", r"\d")) and not re.match(r"^(?:sha\d|data)", value):
                 add(start, stop, key_path(text, m.start(), name), "entry")
@@ -235,7 +245,7 @@ def find_credentials(text: str) -> list[Finding]:
                 eol = text.find("\n", stop)
                 if _COMMENT_SECRET.search(text, stop, len(text) if eol < 0 else eol):
                     add(start, stop, key_path(text, m.start(), name), "entry")
-        elif _CALL_BEFORE.search(before) and password_like(value):
+        elif likely and _CALL_BEFORE.search(before):
             add(start, stop, "argument", "argument")
     for m in _USERINFO.finditer(text):
         value = m[1]
@@ -267,10 +277,10 @@ def find_credentials(text: str) -> list[Finding]:
         g = m.lastindex
         if password_like(m[g]) and re.search(r"\d", m[g]):
             add(m.start(g), m.end(g), "option", "option")
-    for m in re.finditer(r"^[ \t]*(?:export[ \t]+)?([A-Z][A-Z0-9_]{3,60})=([^\s'\"`;,]{6,400})[ \t]*\r?$", text, re.M):
+    for m in re.finditer(r"^[ \t]*(?:export[ \t]+)?([A-Z][A-Z0-9_]{3,60})=([^\s'\"`;,]{6,})[ \t]*\r?$", text, re.M):
         if sensitive(m[1]) and password_like(m[2]):
             add(m.start(2), m.end(2), m[1], "environment")
-    found.sort(key=lambda f: (f.start, -len(f.spans)))
+    found.sort(key=lambda f: (f.start, -len(f.spans), -max((b for _, b in f.spans), default=0)))
     out: list[Finding] = []
     reach = -1
     for f in found:

@@ -236,3 +236,32 @@ def test_credential_rows(spark, rows):
     got = {r.id: r.redacted for r in credentials.redact(df, "t").where(F.col("id").isNotNull()).collect()}
     assert got["1"] == "é\nconst pass = 'REDACTED';" and got["2"] is None and got["3"] == ""
     assert credentials.credential_lines(df.limit(0), "id", "t").count() == 0
+
+
+LONG = "Zk3" + "q7Xv9LmP2w" * 260
+
+
+@pytest.mark.parametrize(
+    "text,secret",
+    [
+        ("connect({ user: 'root', password: 'S3cr3tPass1' })", "S3cr3tPass1"),
+        ("x = {a:'',password:'S3cr3tPass1'}", "S3cr3tPass1"),
+        ("x = {icon:'" + "A" * 2500 + "',password:'S3cr3tPass1'}", "S3cr3tPass1"),
+        ("rest of it', password: 'S3cr3tPass1' })", "S3cr3tPass1"),
+        ("// it's a test\nlet a = it.replace(/['\"]/g, ''), password = 'S3cr3tPass1'", "S3cr3tPass1"),
+        (f"const secret = '{LONG}';", LONG),
+        (f"// export API_TOKEN={LONG}", LONG),
+        (f"API_TOKEN={LONG}", LONG),
+        (f"// the token is {LONG}", LONG),
+        (f"// run --token {LONG}", LONG),
+        (f"fetch(`https://x.io/a?access_token={LONG}`)", LONG),
+        (f"get('https://me:{LONG}@x.io/a')", LONG),
+        (f"// Authorization: Bearer {LONG}", LONG),
+        ("const token = 'aBcDeFgHiJkLmN';", "aBcDeFgHiJkLmN"),  # neither digits nor signs
+        (f"'{LONG[:40]}' +\n", LONG[:40]),
+    ],
+)
+def test_credentials_of_any_length(text, secret):
+    found = credentials.find_credentials(text)
+    assert [text[a:b] for f in found for a, b in f.spans] == [secret]
+    assert credentials.redacted(text, found) == text.replace(secret, "REDACTED")
