@@ -1,11 +1,13 @@
 """Evaluation texts that leak into training text.
 
 Words of both sides are brought to a template: numbers, code names and units of measure become typed
-placeholders. Windows of ten template words are hashed and joined; a match gives an alignment (the distance
-between the positions in both texts), which is then checked word by word. Two kinds come out:
+placeholders. Windows of ten are hashed and joined, of the template words as they are written, of those in lower
+case (where a code name may be a plain word) and of the plain words in lower case; a match gives an alignment (the
+distance between the positions in both texts), which is then checked word by word. Two kinds come out:
 
 * ``literal``: at least ``least`` consecutive words of which at most one in any ``least`` is replaced. Such a
-  stretch holds ten equal words in a row on one side of the replaced word, so the join finds all of them;
+  stretch holds ten equal words in a row on one side of the replaced word, and windows of plain words depend on
+  nothing else, so the join finds all of them;
 * ``reparameterised``: at least ``least`` consecutive words that agree as templates but not as words, and
   whose slots are filled consistently: equal fillings of the item have equal fillings in the document, and
   different ones different ones.
@@ -55,15 +57,9 @@ def without_line_numbers(text: str) -> str:
     return "\n".join(lines)
 
 
-def words(text: str | None) -> tuple[list[str], list[str]]:
-    """Words (lower case, without accents and mark-up) and their templates."""
-    if not text:
-        return [], []
-    text = _MARKUP.sub(" ", without_line_numbers(text.replace("\r\n", "\n").replace("\r", "\n")))
-    if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-    raw = _WORD.findall(text)
-    plain, typed = [w.lower() for w in raw], []
+def templates(raw: list[str], plain: list[str]) -> list[str]:
+    """Words with placeholders; what is a code name is told by ``raw``."""
+    typed: list[str] = []
     for i, (r, w) in enumerate(zip(raw, plain)):
         if w.isdigit():
             typed.append("0number")
@@ -73,7 +69,19 @@ def words(text: str | None) -> tuple[list[str], list[str]]:
             typed.append("0unit")
         else:
             typed.append(w)
-    return plain, typed
+    return typed
+
+
+def words(text: str | None) -> tuple[list[str], list[str]]:
+    """Words (without letter case, accents and mark-up) and their templates."""
+    if not text:
+        return [], []
+    text = _MARKUP.sub(" ", without_line_numbers(text.replace("\r\n", "\n").replace("\r", "\n")))
+    if not text.isascii():
+        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    raw = _WORD.findall(text)
+    plain = [w.casefold() for w in raw]
+    return plain, templates(raw, plain)
 
 
 def window_hashes(typed: list[str], seen: dict[str, int]) -> np.ndarray:
@@ -95,15 +103,25 @@ def window_hashes(typed: list[str], seen: dict[str, int]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def template_windows(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def all_windows(plain: list[str], typed: list[str], seen: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of all windows: templates, templates without letter case, plain words; equal ones once."""
+    kinds = [window_hashes(typed, seen)]
+    for other in (templates(plain, plain), plain):
+        if other != typed:
+            kinds.append(window_hashes(other, seen))
+    fresh = [np.flatnonzero(np.all([h != k for k in kinds[:n]], axis=0)) if n else np.arange(len(h)) for n, h in enumerate(kinds)]
+    return np.concatenate(fresh).astype(np.int32), np.concatenate([h[f] for h, f in zip(kinds, fresh)])
+
+
+@F.pandas_udf(T.StructType().add("at", T.ArrayType(T.IntegerType())).add("hash", T.ArrayType(T.LongType())))
+def text_windows(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     seen: dict[str, int] = {}
     for part in texts:
-        yield part.map(lambda t: window_hashes(words(t)[1], seen))
+        yield pd.DataFrame([all_windows(*words(t), seen) for t in part], columns=["at", "hash"])
 
 
 def item_runs(items: DataFrame, identity: str, text: str, shared: int) -> DataFrame:
-    """Items as runs of their own sentences: item, run, words (as one string), windows."""
+    """Items as runs of their own sentences: item, run, words (as one string), windows and their places."""
 
     @F.pandas_udf("array<string>")
     def sentences(texts: pd.Series) -> pd.Series:
@@ -124,11 +142,12 @@ def item_runs(items: DataFrame, identity: str, text: str, shared: int) -> DataFr
                 run.append(s)
             elif run:
                 plain, typed = words(" ".join(run))
-                out.append({"item": pdf["item"].iloc[0], "run": len(out), "words": " ".join(plain), "typed": " ".join(typed), "windows": window_hashes(typed, seen)})
+                at, hashes = all_windows(plain, typed, seen)
+                out.append({"item": pdf["item"].iloc[0], "run": len(out), "words": " ".join(plain), "typed": " ".join(typed), "at": at, "hash": hashes})
                 run = []
-        return pd.DataFrame(out, columns=["item", "run", "words", "typed", "windows"])
+        return pd.DataFrame(out, columns=["item", "run", "words", "typed", "at", "hash"])
 
-    return tagged.groupBy("item").applyInPandas(runs, "item bigint, run int, words string, typed string, windows array<bigint>")  # one item's sentences
+    return tagged.groupBy("item").applyInPandas(runs, "item bigint, run int, words string, typed string, at array<int>, hash array<bigint>")  # one item's sentences
 
 
 def stretches(doc: tuple[list[str], list[str]], item: tuple[list[str], list[str]], shift: int, least: int) -> list[tuple[str, int]]:
@@ -151,8 +170,8 @@ def stretches(doc: tuple[list[str], list[str]], item: tuple[list[str], list[str]
         j = i
         there: dict[str, str] = {}
         back: dict[str, str] = {}
-        while j < hi - lo and s[j] == t[j]:
-            if s[j][0] == "0" and s[j] != a[j] and (there.setdefault(a[j], b[j]) != b[j] or back.setdefault(b[j], a[j]) != a[j]):
+        while j < hi - lo and (s[j] == t[j] or a[j] == b[j]):
+            if (s[j][0] == "0" and s[j] != a[j] or t[j][0] == "0" and t[j] != b[j]) and (there.setdefault(a[j], b[j]) != b[j] or back.setdefault(b[j], a[j]) != a[j]):
                 break
             j += 1
         if j - i >= least and any(x != y for x, y in there.items()):
@@ -169,10 +188,10 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     null ones take no part. Repeated rows give one result. Two empty tables give no rows.
     """
     runs = item_runs(items.where(F.col(item_id).isNotNull()), item_id, text, shared).cache()
-    index = runs.select("item", "run", F.posexplode("windows").alias("ipos", "hash")).groupBy("hash").agg(F.collect_set(F.struct("item", "run", "ipos")).alias("places"))
-    small = runs.agg(F.sum(F.size("windows"))).first()[0] or 0
+    index = runs.select("item", "run", F.inline(F.arrays_zip(F.col("at").alias("ipos"), "hash"))).groupBy("hash").agg(F.collect_set(F.struct("item", "run", "ipos")).alias("places"))
+    small = runs.agg(F.sum(F.size("hash"))).first()[0] or 0
     texts = documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("body"))
-    windows = texts.select("doc", F.posexplode(template_windows("body")).alias("dpos", "hash"))
+    windows = texts.select("doc", text_windows("body").alias("w")).select("doc", F.inline(F.arrays_zip(F.col("w.at").alias("dpos"), F.col("w.hash").alias("hash"))))
     hits = windows.join(F.broadcast(index) if small <= BROADCAST_ROWS else index, "hash").select("doc", "dpos", F.explode("places").alias("p"))
     aligned = hits.groupBy("doc", "p.item", "p.run").agg(F.collect_set(F.col("dpos") - F.col("p.ipos")).alias("shifts"))  # no more than the words of both texts
 

@@ -106,6 +106,37 @@ def test_literal_against_brute_force():
         assert got == want
 
 
+def test_leaks_without_letter_case(spark, rows):
+    p = passage(11, 20)
+    named = [*p[:10], "retryQueue", *p[11:]]
+    timed = [*p[:9], "12", "seconds", *p[11:]]
+    items = spark.createDataFrame([(1, " ".join(named)), (2, " ".join(timed)), (3, " ".join([*named[:5], "12", *named[6:], *passage(12, 10)]))], "item_id bigint, text string")
+    texts = [" ".join(named).lower(), " ".join(named).upper(), " ".join(timed).replace("12", "several"), " ".join([*named[:5], "99", *named[6:10], "RETRYQUEUE", *p[11:], *passage(12, 10)]).lower()]
+    found = leaks.leaks(spark.createDataFrame(list(enumerate(texts, 1)), "doc_id bigint, text string"), items)
+    got = rows(found.where("kind = 'literal'").select("doc_id", "item_id"))
+    assert {(1, 1), (2, 1), (3, 2), (4, 3)} <= set(got)
+    assert not [r for r in got if r[0] == 3 and r[1] == 1]
+
+
+def test_windows_find_every_literal_stretch():
+    """Whatever word of twenty is replaced and however letter case is changed, a window of ten is shared."""
+    rng = random.Random(5)
+    pool = [*WORDS[:30], "retryQueue", "sha256", "12", "7", "seconds", "ms", "Straße", "a_b"]
+    for _ in range(200):
+        item = [rng.choice(pool) for _ in range(20)]
+        doc = [rng.choice([str.lower, str.upper, str])(w) for w in item]
+        doc[rng.randrange(20)] = rng.choice(pool)
+        (ia, ih), (da, dh) = (leaks.all_windows(*leaks.words(" ".join(x)), {}) for x in (item, doc))
+        assert set(zip(ia.tolist(), ih.tolist())) & set(zip(da.tolist(), dh.tolist()))
+
+
+def test_other_parameters_in_lower_case(spark):
+    text = "move retryQueue from {} to {} and {} rows within {} seconds but " + " ".join(WORDS[:12])
+    items = spark.createDataFrame([(1, text.format(11, 12, 13, 14))], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, text.format(91, 92, 93, 94).lower()), (2, text.format(91, 91, 93, 94).lower().replace(WORDS[8], "zz"))], "doc_id bigint, text string")
+    assert [(r.doc_id, r.kind, r.words) for r in leaks.leaks(docs, items).collect()] == [(1, "reparameterised", 25)]
+
+
 # -- p8 -------------------------------------------------------------------------------------------------------
 
 
