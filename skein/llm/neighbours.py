@@ -6,7 +6,8 @@ each group that holds some of them. A tile is the part of a group that one task
 a larger group is split on both sides. Within a tile the int8 codes of queries and data are multiplied (as
 whole numbers, in a float matrix product, which is exact below 2**24); with the quantisation errors of both
 sides that bounds every cosine from below and above. Pairs whose upper bound reaches the k-th best lower bound
-survive and are recomputed in double precision from the original vectors. The tiles' best lists are merged
+survive and are recomputed in double precision from the original vectors; each step's are merged at once into
+the k best of its queries, so a tile never holds more pairs than one step's. The tiles' best lists are merged
 for each query.
 
 The loss: neighbours in blocks that weren't probed are missed. With no more blocks than ``probes`` (up to
@@ -32,7 +33,9 @@ SAMPLE_PER_BLOCK = 24
 MAX_BLOCKS = 4096
 BLOCKS_PER_GROUP = 32
 TILE_DATA, TILE_QUERIES = 32_768, 49_152
-STEP = 1024
+STEP, WIDTH = 1024, 4096
+#: Pairs for each query of a step from which they are pruned in double precision before they are listed.
+MANY = 48
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -64,39 +67,60 @@ def int8_codes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, scale, np.linalg.norm(rows - codes * scale[:, None], axis=1)
 
 
-def tile_pairs(queries: np.ndarray, data: np.ndarray, same: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Pairs (query row, data row, cosine) that hold the k best data rows of each query; the fourth is the number recomputed.
+def tile_steps(queries: np.ndarray, data: np.ndarray, same: np.ndarray, k: int, floor: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For STEP queries and WIDTH data rows at a time: pairs (query row, data row, cosine) that hold the k best of them.
 
     ``queries`` and ``data`` are unit vectors in double precision; ``same[i]`` is the data row that is query i
-    itself, or -1.
+    itself, or -1. ``floor[i]`` is the cosine from which a pair of query i is of use; it may rise between steps.
+    Where the int8 bounds leave many pairs, as among nearly equal vectors, a product in double precision prunes
+    them before they are listed.
     """
     qc, qs, qe = int8_codes(queries)
     dc, ds, de = int8_codes(data)
     left, right = qc.astype(np.float32), dc.astype(np.float32).T
-    rows, cols = [], []
     for i in range(0, len(queries), STEP):
         part = slice(i, i + STEP)
-        product = left[part] @ right  # whole numbers below 2**24
-        product *= qs[part, None].astype(np.float32)
-        product *= ds[None, :].astype(np.float32)
-        own = np.flatnonzero(same[part] >= 0)
-        product[own, same[part][own]] = -4
-        # |cos - product| <= |q| e_d + |d'| e_q, and float32 rounding
-        slack = (qe[part] * (1 + de.max()) + de.max() + 1e-5).astype(np.float32)
-        if product.shape[1] > k:
-            least = -np.partition(-product, k - 1, axis=1)[:, k - 1] - 2 * slack
-        else:
-            least = np.full(len(product), -3, np.float32)
-        r, c = np.nonzero(product >= np.maximum(least, -3)[:, None])
-        rows.append(r + i)
-        cols.append(c)
-    r, c = np.concatenate(rows), np.concatenate(cols)
-    exact = np.empty(len(r))
-    for i in range(0, len(r), 65_536):
-        exact[i : i + 65_536] = np.einsum("ij,ij->i", queries[r[i : i + 65_536]], data[c[i : i + 65_536]])
+        for j in range(0, len(data), WIDTH):
+            across = slice(j, j + WIDTH)
+            product = left[part] @ right[:, across]  # whole numbers below 2**24
+            product *= qs[part, None].astype(np.float32)
+            product *= ds[None, across].astype(np.float32)
+            own = np.flatnonzero((same[part] >= j) & (same[part] < j + WIDTH))
+            product[own, same[part][own] - j] = -4
+            # |cos - product| <= |q| e_d + |d'| e_q, and float32 rounding
+            slack = (qe[part] * (1 + de[across].max()) + de[across].max() + 1e-5).astype(np.float32)
+            if product.shape[1] > k:
+                least = -np.partition(-product, k - 1, axis=1)[:, k - 1] - 2 * slack
+            else:
+                least = np.full(len(product), -3, np.float32)
+            alive = product >= np.maximum(np.maximum(least, floor[part] - slack), -3)[:, None]
+            if product.shape[1] > k and np.count_nonzero(alive) > MANY * len(product):
+                wide = queries[part] @ data[across].T
+                wide[own, same[part][own] - j] = -4
+                best = -np.partition(-wide, k - 1, axis=1)[:, k - 1]
+                alive &= wide >= np.maximum(best, floor[part])[:, None] - 1e-12
+            r, c = np.nonzero(alive)
+            r, c = r + i, c + j
+            exact = np.empty(len(r))
+            for n in range(0, len(r), 65_536):
+                exact[n : n + 65_536] = np.einsum("ij,ij->i", queries[r[n : n + 65_536]], data[c[n : n + 65_536]])
+            yield r, c, exact
+
+
+def tile_pairs(queries: np.ndarray, data: np.ndarray, same: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """All steps of a tile at once: pairs that hold the k best data rows of each query, and the number recomputed."""
+    r, c, exact = (np.concatenate(x) for x in zip(*tile_steps(queries, data, same, k, np.full(len(queries), -np.inf))))
     return r, c, exact, len(r)
 
 
+def best_of(r: np.ndarray, c: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k pairs of each r with the largest s, at equal s those with the smaller c, in this order."""
+    order = np.lexsort((c, -s, r))
+    r, c, s = r[order], c[order], s[order]
+    keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+    return r[keep], c[keep], s[keep]
+
+
 def usable(df: DataFrame, vector: str, size: int) -> DataFrame:
     """Rows whose vector has ``size`` finite numbers, not all zero."""
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(vector, lambda x: x != 0)
@@ -168,23 +192,28 @@ def similar_vectors(df: DataFrame, identity: str, vector: str, size: int, k: int
             own = np.array([at.get(c, -1) for c in q["query"]])
             of = np.repeat(np.arange(len(q)), [len(b) for b in q["blocks"]])
             wanted = np.concatenate(list(q["blocks"]))
-            blocks, found = d["block"].to_numpy(), []
+            blocks = d["block"].to_numpy()
+            top_c, top_s = np.full((len(q), k), -1), np.full((len(q), k), -np.inf)  # the running lists
             for b in np.unique(wanted):
                 here, who = np.flatnonzero(blocks == b), of[wanted == b]
                 if len(here):
                     place = np.full(len(d) + 1, -1)
                     place[here] = np.arange(len(here))
-                    r, c, s, _ = tile_pairs(asked[who], data[here], place[own[who]], k)
-                    found.append((who[r], here[c], s))
-            if found:
-                r, c, s = (np.concatenate(x) for x in zip(*found))
-                order = np.lexsort((c, -s, r))
-                r, c, s = r[order], c[order], s[order]
-                first = np.searchsorted(r, r)
-                keep = np.arange(len(r)) - first < k
+                    floor = top_s[who, k - 1]
+                    for r, c, s in tile_steps(asked[who], data[here], place[own[who]], k, floor):
+                        r, c, s = best_of(r, here[c], s, k)
+                        rows = np.unique(r)
+                        n, m = np.nonzero(top_c[who[rows]] >= 0)
+                        r, c, s = best_of(np.concatenate([r, rows[n]]), np.concatenate([c, top_c[who[rows[n]], m]]), np.concatenate([s, top_s[who[rows[n]], m]]), k)
+                        at = np.arange(len(r)) - np.searchsorted(r, r)
+                        top_c[who[r], at], top_s[who[r], at] = c, s
+                        floor[rows] = top_s[who[rows], k - 1]
+            r, m = np.nonzero(top_c >= 0)
+            if len(r):
+                c, s = top_c[r, m], top_s[r, m]
                 ids, names = d["n"].to_numpy(), q["query"].to_numpy()
                 lists: dict[int, list] = {}
-                for x, y, z in zip(r[keep].tolist(), ids[c[keep]].tolist(), s[keep].tolist()):
+                for x, y, z in zip(r.tolist(), ids[c].tolist(), s.tolist()):
                     lists.setdefault(x, []).append((-z, y))
                 for x, best in lists.items():
                     out["query"].append(names[x])

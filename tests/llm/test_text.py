@@ -63,6 +63,23 @@ def test_tile_bounds_lose_nothing():
         assert np.allclose(s[r == i], exact[i][c[r == i]])
 
 
+def test_nearly_equal_vectors_are_not_all_pairs(spark):
+    """A hot group within the int8 error: few pairs are listed, and the answer stays exact."""
+    rng = np.random.default_rng(4)
+    middle = rng.normal(size=16)
+    hot = (middle + 1e-3 * rng.normal(size=(5000, 16))).astype(np.float32)
+    x = neighbours.unit(hot)
+    same = np.arange(len(x))[:1100]
+    r, c, s, listed = neighbours.tile_pairs(x[:1100], x, same, 5)
+    assert listed <= 1100 * 2 * 8
+    exact = x[:1100] @ x.T
+    exact[same, same] = -4
+    assert all(set(np.argsort(-exact[i], kind="stable")[:5]) <= set(c[r == i]) for i in range(0, 1100, 50))
+    vectors = {f"{i:04d}": v.tolist() for i, v in enumerate(np.concatenate([hot[:900], rng.normal(size=(300, 16)).astype(np.float32)]))}
+    df = spark.createDataFrame(list(vectors.items()), "id string, e array<float>")
+    assert {(n.id, n.neighbour) for n in neighbours.similar_vectors(df, "id", "e", 16, 5, probes=16, block_rows=100).collect()} == brute_neighbours(vectors, 5)
+
+
 # -- p7 -------------------------------------------------------------------------------------------------------
 
 WORDS = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
