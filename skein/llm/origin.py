@@ -60,10 +60,10 @@ def without_comments(text: str) -> str:
     return _COMMENT.sub(lambda m: " " if m["comment"] else m[0], text)
 
 
-def head_lines(text: str, most: int = 12) -> list[str]:
-    """The lines of the comments before the first line of code."""
+def head_lines(text: str) -> list[str]:
+    """The lines of the comments before the first line of code, however many."""
     out, block = [], False
-    for line in text.lstrip("\ufeff").split("\n")[: most * 3]:
+    for line in text.lstrip("\ufeff").split("\n"):
         stripped = line.strip()
         if not stripped:
             continue
@@ -76,8 +76,6 @@ def head_lines(text: str, most: int = 12) -> list[str]:
             block = False
             if stripped.split("*/", 1)[1].strip():
                 break
-        if len(out) >= most:
-            break
     return out
 
 

@@ -115,6 +115,15 @@ def test_signs():
     assert "minified" in origin.signs('"use strict";' + "function a(e,t){if(!e)return null;return e.x>t?e:t}var b=a(c,d);" * 12)
 
 
+@pytest.mark.parametrize("notice,sign", [("Generated by protoc from api.proto. DO NOT EDIT.", "generated"), ("Copied from left-pad", "foreign")])
+def test_notices_below_a_long_comment(notice, sign):
+    about = [f"Entry {n} of the description of this interface." for n in range(200)]
+    code = "\nexport const answer = compute(41);\n"
+    assert origin.signs("/*\n" + "".join(f" * {x}\n" for x in about) + f" * {notice}\n */" + code) == [sign]
+    assert origin.signs("".join(f"// {x}\n\n" for x in about) + f"// {notice}" + code) == [sign]
+    assert origin.signs("".join(f"// {x}\n" for x in about) + code + f"// {notice}\n") == []
+
+
 def test_copies(spark, rows):
     # the same code under two owners: whole file, patched file, and a small file below a shared directory
     small = "export const size = 1234567890;"
