@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.functions.ids import chunk_id
+from skein.functions.ids import chunk_id, glossary_id, node_id
 from skein.functions.text import expand_query, fnmatch
 from skein.operators import embed, glossary, graph, parse
 from skein.operators import retrieval as R
@@ -46,8 +46,10 @@ class Engine:
         chunks = chunk_text(new, "path", "content", size, overlap).join(new.select("path", "file_hash", "language"), "path").join(meta, "path").withColumnRenamed("path", "file_path")
         chunks = chunks.withColumn("id", chunk_id(F.col("file_path"), F.col("chunk_index"), F.col("file_hash"))).withColumns({"function_name": F.lit(None).cast("string"), "parent_function": F.lit(None).cast("string")})
         chunks = embed.embed_texts(chunks, "text_content", self.embedder, self.model, batch)
-        nodes = parse.extracted_nodes(new)
-        _, edges = graph.graph_from_chunks(chunks)
+        detailed = parse.detailed_nodes(new)
+        nodes = detailed.drop("parent", "extends").distinct()
+        named = new.select(node_id(F.col("path"), F.lit("File"), F.col("path"), F.lit(1)).alias("id"), "path").join(meta.select("path", "exports"), "path")
+        edges = graph.graph_from_nodes(named, chunks, detailed)
         comments = parse.comments(new).withColumnRenamed("path", "file_path")
         symbols = nodes.where(F.col("label").isin(*glossary.LABEL_KINDS) & F.col("name").isNotNull()).select("id", "label", "name", "file_path", "start_line")
         found = glossary.forward_asof(comments, symbols, "file_path", "end_line", "start_line", 2, "id")
@@ -55,14 +57,14 @@ class Engine:
         from skein.functions.text import clean_comment
 
         entries = found.select("file_path", F.col("matched.name").alias("term"), kind.alias("kind"), clean_comment(F.col("text")).alias("summary"), F.lit("comment").alias("source"), F.lit(0.75).alias("confidence"), F.col("matched.id").alias("symbol_id")).where("summary <> ''")
+        entries = entries.withColumn("id", glossary_id(F.col("file_path"), F.col("kind"), F.col("term"), F.col("symbol_id")))
+        edges = edges.unionByName(entries.select("file_path", F.lit("HAS_GLOSSARY").alias("type"), F.col("symbol_id").alias("source_id"), F.col("id").alias("target_id"))).distinct()
         changed = new.select(F.col("path").alias("file_path"))
         counts = {"new_files": new.count()}
-        for name, rows, key in (("files", new, "path"), ("chunks", chunks, "file_path"), ("nodes", nodes, "file_path"), ("glossary", entries, "file_path")):
-            kept = rows if not self.store.exists(name) else self.store.read(name).join(changed.withColumnRenamed("file_path", key), key, "left_anti").unionByName(rows)
+        for name, rows, key in (("files", new, "path"), ("chunks", chunks, "file_path"), ("nodes", nodes, "file_path"), ("glossary", entries, "file_path"), ("edges", edges, "file_path")):
+            kept = rows if not self.store.exists(name) else self.store.read(name).join(changed.withColumnRenamed("file_path", key), key, "left_anti").unionByName(rows, allowMissingColumns=True)
             self.store.overwrite(name, kept)
             counts[name] = self.store.read(name).count()
-        every = edges if not self.store.exists("edges") else self.store.read("edges").unionByName(edges)
-        self.store.overwrite("edges", every.distinct())
         new.unpersist()
         return counts
 

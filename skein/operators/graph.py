@@ -141,6 +141,30 @@ def graph_from_chunks(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ids.select(F.explode(nodes).alias("n")).select("n.label", "n.id").distinct(), ids.select(F.explode(edges).alias("e")).select("e.type", "e.source_id", "e.target_id").distinct()
 
 
+def graph_from_nodes(files: DataFrame, chunks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges between files (id, path, exports), chunks (id, file_path, lines) and extracted nodes, by their own ids: file_path, type, source_id, target_id.
+
+    A file contains its chunks and nodes, defines those that are no imports, imports and depends on the others, and
+    exports what is declared so or listed by name. A node contains the chunks that hold some of its lines, a class those that name it as
+    parent. INHERITS goes to the first class or interface of the base's name in the same file.
+    """
+    edge = lambda rows, kind, a, b: rows.select("file_path", F.lit(kind).alias("type"), F.col(a).alias("source_id"), F.col(b).alias("target_id"))
+    file = files.select(F.col("path").alias("file_path"), F.col("id").alias("file"))
+    held, owned = chunks.select("file_path", F.col("id").alias("chunk")).join(file, "file_path"), nodes.join(file, "file_path")
+    imports, defined = owned.where("label = 'Import'"), owned.where("label <> 'Import'")
+    lines = chunks.select("file_path", F.col("id").alias("chunk"), F.col("start_line").alias("_from"), F.col("end_line").alias("_to"))
+    within = nodes.where(F.col("label").isin("Class", "Function", "Method")).join(lines, "file_path").where("_from <= end_line AND _to >= start_line")
+    first = lambda label: nodes.where(F.col("label").isin(*label) & F.col("name").isNotNull()).groupBy("file_path", F.col("name").alias("_name")).agg(F.min_by("id", F.struct("start_line", "id")).alias("_id"))
+    members = nodes.where(F.col("parent").isNotNull()).withColumn("_name", F.col("parent")).join(first(("Class",)), ["file_path", "_name"])
+    derived = nodes.where(F.col("extends").isNotNull()).withColumn("_name", F.col("extends")).join(first(("Class", "Interface")), ["file_path", "_name"]).where("id <> _id")
+    exported = export_edges(files, nodes).join(files.select(F.col("id").alias("source_id"), F.col("path").alias("file_path")), "source_id")
+    parts = [
+        edge(held, "CONTAINS", "file", "chunk"), edge(owned, "CONTAINS", "file", "id"), edge(defined, "DEFINES", "file", "id"), edge(imports, "IMPORTS", "file", "id"), edge(imports, "DEPENDS_ON", "file", "id"),
+        edge(within, "CONTAINS", "id", "chunk"), edge(members, "CONTAINS", "_id", "id"), edge(derived, "INHERITS", "id", "_id"), edge(exported, "EXPORTS", "source_id", "target_id"), edge(owned.where("is_exported AND parent IS NULL"), "EXPORTS", "file", "id"),
+    ]
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
 def placeholders(files: DataFrame, nodes: DataFrame) -> DataFrame:
     """Files that have no node of a label get one made up: path, label, name (Class, Function, Import)."""
     wanted = files.select("path").where("path IS NOT NULL").distinct().select("path", F.explode(F.create_map(*[F.lit(x) for kv in (("Class", "AnonymousClass"), ("Function", "anonymous"), ("Import", "./module")) for x in kv])).alias("label", "name"))

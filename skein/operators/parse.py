@@ -251,10 +251,15 @@ def comments(files: DataFrame) -> DataFrame:
     return _scan(files, "path string, start_line int, end_line int, text string", rows)
 
 
-def extracted_nodes(files: DataFrame) -> DataFrame:
-    """The symbols as graph nodes: id, label, file_path, name, start_line, end_line, is_exported; distinct."""
+def detailed_nodes(files: DataFrame) -> DataFrame:
+    """The symbols as graph nodes with the names of what they belong to (parent) and extend; distinct."""
     from skein.functions.ids import node_id
 
     found = symbols(files)
     name = F.coalesce("name", "module", F.lit("anonymous"))
-    return found.select(node_id(F.col("path"), F.col("label"), name, F.col("start_line")).alias("id"), "label", F.col("path").alias("file_path"), "name", "start_line", "end_line", "is_exported").distinct()
+    return found.select(node_id(F.col("path"), F.col("label"), name, F.col("start_line")).alias("id"), "label", F.col("path").alias("file_path"), "name", "start_line", "end_line", "is_exported", "parent", "extends").distinct()
+
+
+def extracted_nodes(files: DataFrame) -> DataFrame:
+    """The symbols as graph nodes: id, label, file_path, name, start_line, end_line, is_exported; distinct."""
+    return detailed_nodes(files).drop("parent", "extends").distinct()

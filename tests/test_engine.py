@@ -30,3 +30,20 @@ def test_index_search_and_query(spark, tmp_path):
             engine.query(bad)
     with pytest.raises(ValueError):
         check_sizes(10, 10, 1)
+
+
+def test_edges_meet_the_nodes(spark, tmp_path):
+    repo = tmp_path / "repo"
+    repo.mkdir()
+    (repo / "a.ts").write_text("import x from 'mod';\nclass Base {}\n/** Keeps the rows of a queue. */\nexport class Queue extends Base {\n  push(v) { return v; }\n}\n")
+    engine = Engine(spark, str(tmp_path / "store"))
+    engine.index(str(repo), 50, 5)
+    names = {r.id: r.name or r.label for r in engine.store.read("nodes").collect()} | {r.id: "entry" for r in engine.store.read("glossary").collect()} | {r.id: "chunk" for r in engine.store.read("chunks").collect()}
+    edges = engine.store.read("edges").collect()
+    got = {(r.type, names.get(r.source_id, "file"), names.get(r.target_id)) for r in edges}
+    assert {("DEFINES", "file", "Queue"), ("EXPORTS", "file", "Queue"), ("INHERITS", "Queue", "Base"), ("CONTAINS", "Queue", "push"), ("CONTAINS", "Queue", "chunk"), ("IMPORTS", "file", "Import"), ("HAS_GLOSSARY", "Queue", "entry")} <= got
+    assert all(r.target_id in names for r in edges)
+    (repo / "a.ts").write_text("class Other {}\n")
+    engine.index(str(repo), 50, 5)
+    known = {r.id for t in ("nodes", "chunks") for r in engine.store.read(t).collect()}
+    assert {r.target_id for r in engine.store.read("edges").collect()} == known
