@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,11 +20,17 @@ def hot_keys(df: DataFrame, keys: list[str], share: int = HOT_SHARE, rows: int =
     The counts are combined before the shuffle, so a hot key costs one partial row per task. Rows with a null
     in a key are never hot. An empty table has no hot keys. Keys may be of any type that can be grouped.
     """
-    counts = df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).groupBy(*keys).count().where(F.col("count") > rows)
-    top = counts.orderBy(F.desc("count")).limit(share).select(F.xxhash64(*keys).alias("h"), "count").collect()
+    whole = " AND ".join(f"`{k}` IS NOT NULL" for k in keys)
+    return hot_among(df.where(whole).groupBy(*keys).count(), keys, share, rows, df)
+
+
+def hot_among(counts: DataFrame, keys: list[str], share: int = HOT_SHARE, rows: int = HOT_ROWS, df: DataFrame | None = None) -> list[int]:
+    """The same from ``counts`` of the keys (column ``count``); all rows are counted in ``df``, or else are those of the keys."""
+    large = counts.where((F.col("count") > rows) & reduce(lambda a, b: a & b, [F.col(f"`{k}`").isNotNull() for k in keys]))
+    top = large.orderBy(F.desc("count")).limit(share).select(F.xxhash64(*keys).alias("h"), "count").collect()
     if not top:
         return []
-    total = df.count()
+    total = counts.agg(F.sum("count")).first()[0] if df is None else df.count()
     return [r["h"] for r in top if r["count"] * share > total]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -35,9 +36,38 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+#: Tables written to the shared folder that nobody has given back yet.
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever the session's file systems keep it; none is fine."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` to a table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The table is deleted by ``release``, at the latest when the driver's process ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(release)
+    _WRITTEN.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release() -> int:
+    """Deletes what ``materialize`` has written; only when the results that read it are written or not needed. Returns how many."""
+    freed = 0
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        try:
+            delete(spark, path)
+            freed += 1
+        except Exception:  # noqa: BLE001 - the session has ended before
+            continue
+    return freed
