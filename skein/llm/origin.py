@@ -3,8 +3,8 @@
 Copies are found by Merkle hashes, bottom-up: top-level blocks of a file, the file, its directory, and so on to
 the root of the repository. A hash that occurs in repositories of different owners marks everything below it as
 a third-party copy. Hashes are of code only (no comments, white space or names of files), and those of
-directories add up their children's, so a hot directory is combined before it is shuffled. Everything else is
-told by rules on headers (who says the file was made by a tool, or under whose licence) and on layout (how
+directories add up their children's, so a hot directory is combined before it is shuffled. A directory is one of
+its repository: paths may be relative to it. Everything else is told by rules on headers (who says the file was made by a tool, or under whose licence) and on layout (how
 regular its lines are, how short its names, how much of it is literals).
 """
 
@@ -14,20 +14,22 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.operators.skew import skew_join
+from skein.operators.skew import hot_among, skew_join
 from skein.session import materialize
 
 #: Characters of code below which a block, a file and a directory are no evidence of copying.
 LEAST_BLOCK, LEAST_FILE, LEAST_DIRECTORY = 60, 120, 240
 #: Part of a file's code in shared blocks from which the file is a copy.
 COPIED_SHARE = 0.5
-MOST_LEVELS = 64
+#: Levels of directories that are hashed in one plan; a deeper tree takes more plans, one after the other.
+BAND = 6
 
 _COMMENT = re.compile(r"'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"|`(?:[^`\\]|\\.)*`|(?P<comment>/\*.*?(?:\*/|\Z)|//[^\n]*)", re.S)
 _LITERAL = re.compile(r"'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"|`(?:[^`\\]|\\.)*`|(?<![\w$.])-?(?:0x[0-9a-fA-F]+|\d[\d.eE]*)")
@@ -167,40 +169,53 @@ def file_origins(files: DataFrame, path: str = "path", repo: str = "repo", conte
 
     known = files.where(F.col(path).isNotNull()).select(F.col(path).alias("p"), F.col(repo).alias("r"), F.col(content).alias("t"))
     nodes = known.mapInPandas(features, "path string, repo string, leaf bigint, weight int, signs array<string>, blocks array<struct<h:bigint, w:int>>")
-    nodes = materialize(nodes.withColumn("owner", F.split_part("repo", F.lit("/"), F.lit(1))).dropDuplicates(["path", "leaf"]), "origins")
-
-    def shared(rows: DataFrame, key: str) -> DataFrame:
-        return rows.groupBy(key).agg(F.min("owner").alias("a"), F.max("owner").alias("b")).where("a <> b").select(key)
-
-    blocks = nodes.select("path", "leaf", "owner", F.explode("blocks").alias("b")).select("path", "leaf", "owner", "b.h", "b.w")
-    common = skew_join(blocks, shared(blocks, "h"), ["h"], "left_semi").groupBy("path", "leaf").agg(F.sum("w").alias("common"))
-    by_block = nodes.join(common, ["path", "leaf"]).where(F.col("common") >= COPIED_SHARE * F.col("weight")).select("path")
-    whole = nodes.where(F.col("weight") >= LEAST_FILE)
-    by_file = skew_join(whole, shared(whole, "leaf"), ["leaf"], "left_semi").select("path")
-    by_tree = nodes.select("path").limit(0) if (trees := directories(nodes)) is None else below(nodes, trees.join(shared(trees, "hash"), "hash", "left_semi"))
+    nodes = nodes.dropDuplicates(["repo", "path", "leaf"]).withColumns({"owner": F.split_part("repo", F.lit("/"), F.lit(1)), "repo": F.coalesce("repo", F.lit(""))})
+    nodes = materialize(nodes, "origins")
+
+    blocks = nodes.select("repo", "path", "leaf", "owner", "weight", F.explode("blocks").alias("b")).select("repo", "path", "leaf", "owner", "weight", "b.h", "b.w")
+    common = in_several(blocks, "h").groupBy("repo", "path", "leaf").agg(F.sum("w").alias("common"), F.first("weight").alias("weight"))
+    by_block = common.where(F.col("common") >= COPIED_SHARE * F.col("weight")).select("path")
+    by_file = in_several(nodes.where(F.col("weight") >= LEAST_FILE), "leaf").select("path")
+    trees = directories(nodes)
+    by_tree = nodes.select("path").limit(0) if trees is None else below(nodes, in_several(trees, "hash"))
     copied = by_block.union(by_file).union(by_tree).select("path", F.lit("copied").alias("reason"))
     told = nodes.select("path", F.explode("signs").alias("reason"))
     return told.union(copied).groupBy("path").agg(F.sort_array(F.collect_set("reason")).alias("reasons"))
 
 
+def in_several(rows: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` occurs under two owners or more. Keys are counted once, for the owners and for the hot ones."""
+    stats = materialize(rows.groupBy(key).agg(F.min("owner").alias("a"), F.max("owner").alias("b"), F.count("*").alias("count")), "shared")
+    return skew_join(rows, stats.where("a <> b").select(key), [key], "left_semi", hot=hot_among(stats, [key]))
+
+
 def directories(nodes: DataFrame) -> DataFrame | None:
-    """Merkle hashes of all directories with enough code: owner, dir, hash; a level at a time, from the deepest."""
+    """Merkle hashes of all directories with enough code: repo, owner, dir, hash; from the deepest level up.
+
+    A level needs the one below it, so there is a shuffle for each, of one row for each directory. BAND levels
+    make one plan; what it leaves for the levels above is written, so plans stay short however deep the tree.
+    """
     deepest = nodes.agg(F.max(F.size(F.split("path", "/")))).first()[0]
     if deepest is None:
         return None
-    parent = F.regexp_replace("path", "/?[^/]*$", "")
-    files = nodes.select("owner", parent.alias("dir"), F.size(F.split("path", "/")).alias("depth"), "leaf", F.col("weight").cast("bigint").alias("weight"), F.lit(1).cast("bigint").alias("n"))
-    files = files.groupBy("owner", "dir", "depth").agg(F.sum(F.xxhash64("leaf").cast("decimal(20,0)")).alias("sum"), F.sum("weight").alias("weight"), F.sum("n").alias("n"))
-    level, every = None, None
-    for depth in range(min(deepest, MOST_LEVELS), 1, -1):
-        here = files.where(F.col("depth") == depth).drop("depth")
-        if level is not None:
-            here = here.unionByName(level)
-        here = here.groupBy("owner", "dir").agg(F.xxhash64(F.sum("sum"), F.sum("n")).alias("hash"), F.sum("weight").alias("weight"), F.sum("n").alias("n"))
-        here = materialize(here, "level")  # one row for each directory of this depth
-        kept = here.where(f"weight >= {LEAST_DIRECTORY} AND n >= 2").select("owner", "dir", "hash")
-        every = kept if every is None else every.unionByName(kept)
-        level = here.select("owner", F.regexp_replace("dir", "/?[^/]*$", "").alias("dir"), F.xxhash64("hash").cast("decimal(20,0)").alias("sum"), "weight", "n")
+    parent = lambda c: F.regexp_replace(c, "/?[^/]*$", "")
+    depth = F.size(F.split("path", "/"))
+    files = nodes.select("repo", "owner", parent("path").alias("dir"), depth.alias("depth"), "leaf", F.col("weight").cast("bigint").alias("weight"), F.lit(1).cast("bigint").alias("n"))
+    key = ["repo", "owner", "dir"]
+    files = files.groupBy(*key, "depth").agg(F.sum(F.xxhash64("leaf").cast("decimal(20,0)")).cast("decimal(38,0)").alias("sum"), F.sum("weight").alias("weight"), F.sum("n").alias("n"))
+    files = materialize(files, "folders")
+    level, every, fresh = None, None, []
+    for at in range(deepest, 1, -1):
+        here = files.where(F.col("depth") == at).drop("depth")
+        here = here if level is None else here.unionByName(level)
+        here = here.groupBy(*key).agg(F.xxhash64(F.sum("sum"), F.sum("n")).alias("hash"), F.sum("weight").alias("weight"), F.sum("n").alias("n"))
+        fresh.append(here.withColumn("depth", F.lit(at)))
+        if len(fresh) == BAND or at == 2:
+            band = materialize(reduce(DataFrame.unionByName, fresh), "levels")
+            here, fresh = band.where(F.col("depth") == at).drop("depth"), []
+            kept = band.where(f"weight >= {LEAST_DIRECTORY} AND n >= 2").select(*key, "hash")
+            every = kept if every is None else every.unionByName(kept)
+        level = here.select("repo", "owner", parent("dir").alias("dir"), F.xxhash64("hash").cast("decimal(38,0)").alias("sum"), "weight", "n")
     return every
 
 
@@ -208,5 +223,5 @@ def below(nodes: DataFrame, marked: DataFrame) -> DataFrame:
     """Paths of the files at any depth below the marked directories."""
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    rows = nodes.where(F.size(parts) > 1).select("path", "owner", F.explode(above).alias("dir"))
-    return rows.join(marked.select("owner", "dir").distinct(), ["owner", "dir"], "left_semi").select("path")
+    rows = nodes.where(F.size(parts) > 1).select("path", "repo", F.explode(above).alias("dir"))
+    return rows.join(marked.select("repo", "dir").distinct(), ["repo", "dir"], "left_semi").select("path")

@@ -274,3 +274,37 @@ def test_credentials_of_any_length(text, secret):
     found = credentials.find_credentials(text)
     assert [text[a:b] for f in found for a, b in f.spans] == [secret]
     assert credentials.redacted(text, found) == text.replace(secret, "REDACTED")
+
+
+def _library(n: int) -> str:
+    return "".join(f"export function part{n}{k}(left, right) {{\n  const total = left * {k + 3} + right;\n  return total > {n} ? total : helper{k}(right);\n}}\n\n" for k in range(3))
+
+
+def test_copied_directories_with_paths_relative_to_the_repository(spark):
+    vendored = [(f"vendor/lib/{n}.js", _library(ord(n))) for n in "abc"]
+    own = [("src/a.js", "export const a = 1;\n")]
+    rows = [(p, r, t) for r in ("one/x", "two/y") for p, t in vendored + own]
+    df = spark.createDataFrame(rows, "path string, repo string, content string")
+    got = {r.path: r.reasons for r in origin.file_origins(df).collect()}
+    assert got == {p: ["copied"] for p, _ in vendored}
+    # two repositories of one owner are no evidence, nor do their directories melt into one
+    df = spark.createDataFrame([(p, r, t) for r in ("one/x", "one/y") for p, t in vendored], "path string, repo string, content string")
+    assert origin.file_origins(df).count() == 0
+    other = [(p, "one/y", t.replace("total", "sum") + _library(7)) for p, t in vendored]
+    df = spark.createDataFrame([(p, r, t) for r in ("one/x", "two/z") for p, t in vendored] + other, "path string, repo string, content string")
+    trees = origin.directories(origin_nodes(spark, df)).where("dir = 'vendor/lib'").collect()
+    assert len(trees) == 3 and len({r.hash for r in trees}) == 2
+
+
+def origin_nodes(spark, df):
+    rows = [(r.path, r.repo, r.repo.split("/")[0], *origin.code_blocks(r.content)[:2]) for r in df.collect()]
+    return spark.createDataFrame(rows, "path string, repo string, owner string, leaf bigint, weight int")
+
+
+def test_directories_of_any_depth(spark):
+    deep = "/".join(f"d{n}" for n in range(66))
+    rows = [(f"{top}/{deep}/{n}.js", r, _library(ord(n))) for r, top in (("one/x", "p"), ("two/y", "q")) for n in "ab"]
+    df = spark.createDataFrame(rows, "path string, repo string, content string")
+    trees = origin.directories(origin_nodes(spark, df)).collect()
+    assert len(trees) == 2 * 67 and len({r.hash for r in trees}) == 67
+    assert origin.below(origin_nodes(spark, df), spark.createDataFrame([("one/x", "p/d0/d1")], "repo string, dir string")).count() == 2
