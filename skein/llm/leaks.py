@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skein.session import materialize
+
 WINDOW = 10
 #: The item windows are broadcast up to this many rows (about 60 bytes each), beyond that both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -36,6 +38,7 @@ UNITS = frozenset("ms s sec secs second seconds minute minutes min hour hours da
 _MARKUP = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>|<!--|-->|&(?:[a-z]{2,8}|#\d{1,6});|https?://\S+")
 _WORD = re.compile(r"[^\W_]+(?:_[^\W_]+)*")
 _NUMBERED = re.compile(r"^[ \t]*(\d{1,7})(?:[ \t]*[|:.)\]]|\t|[ ]{2,})[ \t]?")
+_MAY_BE_NUMBERED = re.compile(r"^[ \t]*\d{1,7}(?:[ \t]*[|:.)\]]|\t|[ ]{2,})[^\n]*\n[ \t]*\d", re.M)
 _SENTENCE = re.compile(r"(?<=[.?!;:])\s+|\n+")
 _NAME = re.compile(r"[a-z0-9][A-Z]|[A-Za-z]\d|\d[A-Za-z]|_")
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(WINDOW)], dtype=np.uint64)
@@ -74,50 +77,64 @@ def templates(raw: list[str], plain: list[str]) -> list[str]:
 
 def words(text: str | None) -> tuple[list[str], list[str]]:
     """Words (without letter case, accents and mark-up) and their templates."""
-    if not text:
-        return [], []
-    text = _MARKUP.sub(" ", without_line_numbers(text.replace("\r\n", "\n").replace("\r", "\n")))
-    if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-    raw = _WORD.findall(text)
+    raw = raw_words(text)
     plain = [w.casefold() for w in raw]
     return plain, templates(raw, plain)
 
 
-def window_hashes(typed: list[str], seen: dict[str, int]) -> np.ndarray:
-    """A 64-bit hash for each window of template words; a text shorter than a window has none."""
-    if len(typed) < WINDOW:
-        return np.zeros(0, np.int64)
-    codes = np.empty(len(typed), np.uint64)
-    for i, w in enumerate(typed):
-        h = seen.get(w)
-        if h is None:
-            h = seen[w] = xxhash.xxh64_intdigest(w)
-        codes[i] = h
-    if len(seen) > 500_000:
-        seen.clear()
-    many = len(typed) - WINDOW + 1
-    out = np.zeros(many, np.uint64)
-    for k in range(WINDOW):
-        out += codes[k : k + many] * _POWERS[k]
-    return out.astype(np.int64)
-
-
-def all_windows(plain: list[str], typed: list[str], seen: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of all windows: templates, templates without letter case, plain words; equal ones once."""
-    kinds = [window_hashes(typed, seen)]
-    for other in (templates(plain, plain), plain):
-        if other != typed:
-            kinds.append(window_hashes(other, seen))
-    fresh = [np.flatnonzero(np.all([h != k for k in kinds[:n]], axis=0)) if n else np.arange(len(h)) for n, h in enumerate(kinds)]
-    return np.concatenate(fresh).astype(np.int32), np.concatenate([h[f] for h, f in zip(kinds, fresh)])
-
-
-@F.pandas_udf(T.StructType().add("at", T.ArrayType(T.IntegerType())).add("hash", T.ArrayType(T.LongType())))
-def text_windows(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    seen: dict[str, int] = {}
-    for part in texts:
-        yield pd.DataFrame([all_windows(*words(t), seen) for t in part], columns=["at", "hash"])
+class Coder:
+    """Hashes of words: plain, as a template as written, as a template in lower case; what it has seen it keeps, within bounds."""
+
+    MOST = 300_000
+    NUMBER, UNIT = (xxhash.xxh64_intdigest(x) for x in ("0number", "0unit"))
+
+    def __init__(self) -> None:
+        self.known: dict[str, tuple[int, int, int, int]] = {}
+
+    def code(self, raw: str) -> tuple[int, int, int, int]:
+        """The three hashes, and 1 for a number, 2 for a unit (which is one behind a number)."""
+        found = self.known.get(raw)
+        if found is None:
+            plain = raw.casefold()
+            own = xxhash.xxh64_intdigest(plain)
+            number = self.NUMBER if plain.isdigit() else None
+            typed = [number or (xxhash.xxh64_intdigest("0name") if _NAME.search(w) else own) for w in (raw, plain)]
+            found = self.known[raw] = (own, *typed, 1 if number else 2 if plain in UNITS else 0)
+        return found
+
+    def windows(self, raw: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and hashes of all windows of the three kinds; equal ones at one position once."""
+        many = len(raw) - WINDOW + 1
+        if many < 1:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        if len(self.known) > self.MOST:
+            self.known.clear()
+        codes = np.array([self.code(w) for w in raw], dtype=np.uint64).T.copy()
+        unit = np.flatnonzero((codes[3, 1:] == 2) & (codes[3, :-1] == 1)) + 1
+        for row in (1, 2):
+            codes[row, unit[codes[row, unit] == codes[0, unit]]] = self.UNIT
+        sums = np.zeros((3, many), np.uint64)
+        for k in range(WINDOW):
+            sums += codes[:3, k : k + many] * _POWERS[k]
+        fresh = np.ones((3, many), bool)
+        fresh[1] = sums[1] != sums[0]
+        fresh[2] = (sums[2] != sums[0]) & (sums[2] != sums[1])
+        kind, at = np.nonzero(fresh)
+        return at.astype(np.int32), sums[kind, at].astype(np.int64)
+
+
+def raw_words(text: str | None) -> list[str]:
+    """Words as they are written, without accents and mark-up."""
+    if not text:
+        return []
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    if _MAY_BE_NUMBERED.search(text):
+        text = without_line_numbers(text)
+    if "<" in text or "&" in text or "://" in text or "-->" in text:
+        text = _MARKUP.sub(" ", text)
+    if not text.isascii():
+        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    return _WORD.findall(text)
 
 
 def item_runs(items: DataFrame, identity: str, text: str, shared: int) -> DataFrame:
@@ -136,13 +153,13 @@ def item_runs(items: DataFrame, identity: str, text: str, shared: int) -> DataFr
     tagged = rows.join(common.withColumn("common", F.lit(True)), "key", "left")
 
     def runs(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, run, seen = [], [], {}
+        out, run, coder = [], [], Coder()
         for s, shared_by_all in [*zip(pdf.sort_values("at")["sentence"], pdf.sort_values("at")["common"].notna()), ("", True)]:
             if not shared_by_all:
                 run.append(s)
             elif run:
                 plain, typed = words(" ".join(run))
-                at, hashes = all_windows(plain, typed, seen)
+                at, hashes = coder.windows(raw_words(" ".join(run)))
                 out.append({"item": pdf["item"].iloc[0], "run": len(out), "words": " ".join(plain), "typed": " ".join(typed), "at": at, "hash": hashes})
                 run = []
         return pd.DataFrame(out, columns=["item", "run", "words", "typed", "at", "hash"])
@@ -187,10 +204,29 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     ``least`` words, leak nothing; documents of any length are read whole. Identifiers are whole numbers,
     null ones take no part. Repeated rows give one result. Two empty tables give no rows.
     """
-    runs = item_runs(items.where(F.col(item_id).isNotNull()), item_id, text, shared).cache()
+    runs = materialize(item_runs(items.where(F.col(item_id).isNotNull()), item_id, text, shared), "runs")
     index = runs.select("item", "run", F.inline(F.arrays_zip(F.col("at").alias("ipos"), "hash"))).groupBy("hash").agg(F.collect_set(F.struct("item", "run", "ipos")).alias("places"))
     small = runs.agg(F.sum(F.size("hash"))).first()[0] or 0
     texts = documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("body"))
+    # few item windows are known to all tasks, which pass on only those that occur; otherwise all windows are shuffled
+    wanted = None
+    if small <= BROADCAST_ROWS:
+        hashes = np.sort(np.array([r.hash for r in index.select("hash").collect()], np.int64))
+        wanted = documents.sparkSession.sparkContext.broadcast(hashes)
+
+    @F.pandas_udf(T.StructType().add("at", T.ArrayType(T.IntegerType())).add("hash", T.ArrayType(T.LongType())))
+    def text_windows(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        coder, items_hashes = Coder(), wanted.value if wanted else None
+        for part in parts:
+            found = [coder.windows(raw_words(t)) for t in part]
+            if items_hashes is not None and found:
+                every = np.concatenate([h for _, h in found])
+                place = np.minimum(np.searchsorted(items_hashes, every), max(0, len(items_hashes) - 1))
+                kept = items_hashes[place] == every if len(items_hashes) else np.zeros(len(every), bool)
+                ends = np.cumsum([len(h) for _, h in found])
+                found = [(at[keep], h[keep]) for (at, h), keep in zip(found, np.split(kept, ends[:-1]))]
+            yield pd.DataFrame(found, columns=["at", "hash"])
+
     windows = texts.select("doc", text_windows("body").alias("w")).select("doc", F.inline(F.arrays_zip(F.col("w.at").alias("dpos"), F.col("w.hash").alias("hash"))))
     hits = windows.join(F.broadcast(index) if small <= BROADCAST_ROWS else index, "hash").select("doc", "dpos", F.explode("places").alias("p"))
     aligned = hits.groupBy("doc", "p.item", "p.run").agg(F.collect_set(F.col("dpos") - F.col("p.ipos")).alias("shifts"))  # no more than the words of both texts
@@ -209,5 +245,9 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
             yield pd.Series(out, dtype=object)
 
     facts = runs.select("item", "run", "words", "typed")
+    # only the texts of candidates travel: those hold a window of some item
+    aligned = materialize(aligned, "alignments")
+    candidates = aligned.select("doc").distinct()
+    texts = texts.join(F.broadcast(candidates) if candidates.count() <= BROADCAST_ROWS else candidates, "doc", "left_semi")
     checked = aligned.join(F.broadcast(facts) if small <= BROADCAST_ROWS else facts, ["item", "run"]).join(texts, "doc").select("doc", "item", F.explode(check("body", "words", "typed", "shifts")).alias("f"))
     return checked.groupBy("doc", "item").agg(F.min_by("f.kind", F.struct(F.col("f.kind"))).alias("kind"), F.max_by("f.words", F.struct(F.col("f.kind") == "literal", F.col("f.words"))).alias("words")).select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "kind", "words")

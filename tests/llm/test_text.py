@@ -143,7 +143,7 @@ def test_windows_find_every_literal_stretch():
         item = [rng.choice(pool) for _ in range(20)]
         doc = [rng.choice([str.lower, str.upper, str])(w) for w in item]
         doc[rng.randrange(20)] = rng.choice(pool)
-        (ia, ih), (da, dh) = (leaks.all_windows(*leaks.words(" ".join(x)), {}) for x in (item, doc))
+        (ia, ih), (da, dh) = (leaks.Coder().windows(leaks.raw_words(" ".join(x))) for x in (item, doc))
         assert set(zip(ia.tolist(), ih.tolist())) & set(zip(da.tolist(), dh.tolist()))
 
 
