@@ -17,18 +17,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.session import shared_dir
+
 LANGUAGES = ("en", "fr", "de", "es", "pt", "it")
 #: Documents of each language that the network is trained on, at most.
 TRAIN_DOCUMENTS = 300
-HIDDEN, WINDOW, BATCH, STEPS = 24, 48, 256, 700
+HIDDEN, WINDOW, BATCH, STEPS = 24, 48, 256, 450
 PRUNE = 0.4
+#: Part of the newest weights in their running mean, which is what counts: a late step that fails does no harm.
+KEPT = 0.03
 #: Letters of a sentence below which it is no full sentence.
 LEAST_LETTERS = 20
 #: Bytes read at once; longer sentences are read in stretches of this size and pooled.
 STRETCH = 400
+#: Sentences whose probabilities a task keeps.
+MOST_SEEN = 100_000
 
 #: How the languages are called in labels, besides their two-letter codes.
 NAMES = {
@@ -81,10 +89,6 @@ def without_accents(text: str) -> str:
 # -- the network ----------------------------------------------------------------------------------------------
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 def new_weights(rng: np.random.Generator, classes: int, hidden: int = HIDDEN) -> dict[str, np.ndarray]:
     """Of both directions: T input table by byte (update, reset, candidate), U recurrent, c bias inside the reset; V, b output."""
     w = {}
@@ -96,28 +100,51 @@ def new_weights(rng: np.random.Generator, classes: int, hidden: int = HIDDEN) ->
     return {k: v.astype(np.float32) for k, v in w.items()}
 
 
-def run(x: np.ndarray, mask: np.ndarray, T: np.ndarray, U: np.ndarray, c: np.ndarray, keep: bool = False):
-    """States (time, batch, hidden) of one direction over bytes x (time, batch); padding leaves the state as it is."""
+def both(w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Input tables (one below the other), recurrent weights and biases of the two directions as one array each."""
+    return np.concatenate([w["Tf"], w["Tb"]]), np.stack([w["Uf"], w["Ub"]]), np.stack([w["cf"], w["cb"]])[:, None]
+
+
+def run(x: np.ndarray, mask: np.ndarray, w: dict[str, np.ndarray], keep: bool = False):
+    """States (time, direction, batch, hidden) over bytes x (time, batch), in the order each direction reads them;
+    padding leaves the state as it is. Both directions go through time together."""
+    T, U, c = both(w)
     steps, batch = x.shape
-    n = U.shape[0]
-    h, out, kept = np.zeros((batch, n), np.float32), np.empty((steps, batch, n), np.float32), []
+    n = U.shape[1]
+    read = np.stack([x.astype(np.intp), x[::-1].astype(np.intp) + 256], 1)
+    masks = np.stack([mask, mask[::-1]], 1)[..., None]
+    h, out, kept = np.zeros((2, batch, n), np.float32), np.empty((steps, 2, batch, n), np.float32), []
+    full = masks.min(axis=(1, 2, 3)) > 0
+    a, b = np.empty((2, batch, 3 * n), np.float32), np.empty((2, batch, 3 * n), np.float32)
     for t in range(steps):
-        a, b = T[x[t]], h @ U
-        gates = sigmoid(a[:, : 2 * n] + b[:, : 2 * n])
-        z, r = gates[:, :n], gates[:, n:]
-        inner = b[:, 2 * n :] + c
-        g = np.tanh(a[:, 2 * n :] + r * inner)
-        m = mask[t][:, None]
+        np.take(T, read[t], axis=0, out=a, mode="clip")
+        np.matmul(h, U, out=b)
+        gates = a[..., : 2 * n] + b[..., : 2 * n]
+        np.negative(gates, out=gates)
+        with np.errstate(over="ignore"):
+            np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)  # the logistic function
+        z, r = gates[..., :n], gates[..., n:]
+        inner = b[..., 2 * n :] + c
+        g = r * inner
+        g += a[..., 2 * n :]
+        np.tanh(g, out=g)
         if keep:
-            kept.append((h, z, r, inner, g, m))
-        h = h + m * (1 - z) * (g - h)
+            kept.append((h, z, r, inner, g, masks[t]))
+        move = g - h
+        move *= 1 - z
+        if not full[t]:
+            move *= masks[t]
+        h = h + move
         out[t] = h
     return out, kept
 
 
-def back(x: np.ndarray, grad: np.ndarray, kept: list, T: np.ndarray, U: np.ndarray, c: np.ndarray):
-    """Gradients of T, U, c from those of the states, through time."""
-    n = U.shape[0]
+def back(x: np.ndarray, grad: np.ndarray, kept: list, w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Gradients of the recurrent weights from those of the states (time, direction, batch, hidden), through time."""
+    T, U, c = both(w)
+    turned = U.transpose(0, 2, 1)
     dU, dc, dh, inputs = np.zeros_like(U), np.zeros_like(c), np.zeros_like(grad[0]), [None] * len(kept)
     for t in range(len(kept) - 1, -1, -1):
         h, z, r, inner, g, m = kept[t]
@@ -127,22 +154,26 @@ def back(x: np.ndarray, grad: np.ndarray, kept: list, T: np.ndarray, U: np.ndarr
         dg = move * (1 - z) * (1 - g * g)
         dr = dg * inner * r * (1 - r)
         di = dg * r
-        inputs[t] = np.concatenate([dz, dr, dg], 1)
-        db = np.concatenate([dz, dr, di], 1)
-        dU += h.T @ db
-        dc += di.sum(0)
-        dh = dh * (1 - m) + move * z + db @ U.T
-    order = np.argsort(x, axis=None, kind="stable")
-    found, first = np.unique(x.reshape(-1)[order], return_index=True)
+        inputs[t] = np.concatenate([dz, dr, dg], 2)
+        db = np.concatenate([dz, dr, di], 2)
+        dU += h.transpose(0, 2, 1) @ db
+        dc += di.sum(1, keepdims=True)
+        dh = dh * (1 - m) + move * z + db @ turned
+    read = np.stack([x.astype(np.intp), x[::-1].astype(np.intp) + 256], 1)
+    order = np.argsort(read, axis=None, kind="stable")
+    found, first = np.unique(read.reshape(-1)[order], return_index=True)
     dT = np.zeros_like(T)
-    dT[found] = np.add.reduceat(np.concatenate(inputs)[order], first, axis=0)
-    return dT, dU, dc
+    dT[found] = np.add.reduceat(np.stack(inputs).reshape(-1, T.shape[1])[order], first, axis=0)
+    return {"Tf": dT[:256], "Tb": dT[256:], "Uf": dU[0], "Ub": dU[1], "cf": dc[0, 0], "cb": dc[1, 0]}
+
+
+def states(out: np.ndarray) -> np.ndarray:
+    """Both directions' states side by side, by position."""
+    return np.concatenate([out[:, 0], out[::-1, 1]], 2)
 
 
 def log_probabilities(w: dict[str, np.ndarray], x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    forward, _ = run(x, mask, w["Tf"], w["Uf"], w["cf"])
-    backward, _ = run(x[::-1], mask[::-1], w["Tb"], w["Ub"], w["cb"])
-    s = np.concatenate([forward, backward[::-1]], 2) @ w["V"] + w["b"]
+    s = states(run(x, mask, w)[0]) @ w["V"] + w["b"]
     s -= s.max(2, keepdims=True)
     return s - np.log(np.exp(s).sum(2, keepdims=True))
 
@@ -159,12 +190,13 @@ def train(texts: list[str], labels: list[int], classes: int = len(LANGUAGES), st
     there = [k for k in range(classes) if data[k]]
     if not there:
         return w
+    mean = {k: v.copy() for k, v in w.items()}
     m = {k: np.zeros_like(v) for k, v in w.items()}
     v = {k: np.zeros_like(x) for k, x in w.items()}
     for step in range(1, steps + 1):
         if step == int(PRUNE * steps):
             for k in there:
-                kept = [raw for raw, p in zip(data[k], pooled(w, [raw.decode() for raw in data[k]])) if p.argmax() == k]
+                kept = [raw for raw, p in zip(data[k], pooled(mean, [raw.decode() for raw in data[k]])) if p.argmax() == k]
                 data[k] = kept or data[k]
         y = rng.choice(there, BATCH)
         x, mask = np.full((WINDOW, BATCH), 32, np.uint8), np.zeros((WINDOW, BATCH), np.float32)
@@ -173,9 +205,8 @@ def train(texts: list[str], labels: list[int], classes: int = len(LANGUAGES), st
             at = rng.integers(max(1, len(raw) - WINDOW + 1))
             part = np.frombuffer(raw[at : at + WINDOW], np.uint8)
             x[: len(part), j], mask[: len(part), j] = part, 1
-        f, kf = run(x, mask, w["Tf"], w["Uf"], w["cf"], True)
-        b, kb = run(x[::-1], mask[::-1], w["Tb"], w["Ub"], w["cb"], True)
-        h = np.concatenate([f, b[::-1]], 2)
+        out, kept_states = run(x, mask, w, True)
+        h = states(out)
         s = h @ w["V"] + w["b"]
         p = np.exp(s - s.max(2, keepdims=True))
         p /= p.sum(2, keepdims=True)
@@ -184,16 +215,16 @@ def train(texts: list[str], labels: list[int], classes: int = len(LANGUAGES), st
         d *= (mask / mask.sum())[:, :, None]
         dh = d @ w["V"].T
         g = {"V": np.einsum("tbh,tbc->hc", h, d), "b": d.sum((0, 1))}
-        g["Tf"], g["Uf"], g["cf"] = back(x, dh[:, :, :HIDDEN], kf, w["Tf"], w["Uf"], w["cf"])
-        g["Tb"], g["Ub"], g["cb"] = back(x[::-1], dh[::-1, :, HIDDEN:], kb, w["Tb"], w["Ub"], w["cb"])
+        g |= back(x, np.stack([dh[:, :, :HIDDEN], dh[::-1, :, HIDDEN:]], 1), kept_states, w)
         norm = np.sqrt(sum(float((q * q).sum()) for q in g.values()))
-        rate = 0.02 * min(1, 1.5 * (1 - step / (steps + 1)))
+        rate = 0.02 * min(1, 1.25 * (1 - step / (steps + 1)))
         for k, q in g.items():
             q *= min(1, 1 / max(norm, 1e-9))
             m[k] = 0.9 * m[k] + 0.1 * q
             v[k] = 0.99 * v[k] + 0.01 * q * q
             w[k] = (w[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    return w
+            mean[k] += min(1, max(KEPT, 10 / (step + 10))) * (w[k] - mean[k])
+    return mean
 
 
 def pooled(w: dict[str, np.ndarray], texts: list[str], batch: int = 768) -> np.ndarray:
@@ -219,16 +250,32 @@ def fit(documents: DataFrame, identity: str = "doc_id", text: str = "text", labe
     """The network's weights, from at most ``most`` labelled documents of each language (of their first 20 sentences).
 
     The sample is drawn by a hash of the identity, so it is the same for the same table; without labelled
-    documents the weights are random and every confidence is low.
+    documents the weights are random and every confidence is low. Identities are chosen first, then only their
+    texts are read. The weights are kept in the shared folder under the sample's hash: the same sample is
+    never trained on twice.
     """
-    rows = documents.select(F.col(identity).cast("string").alias("id"), F.col(text).alias("t"), label_code(F.col(label)).alias("code")).where("code IS NOT NULL AND length(t) >= 60")
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("code").orderBy(F.xxhash64("id"), "id"))).where(F.col("place") <= most)
-    texts, labels = [], []
-    for r in rows.select("t", "code").toLocalIterator():  # most for each language
+    rows = documents.where(F.col(identity).isNotNull()).select(F.col(identity).cast("string").alias("id"), F.length(text).alias("size"), label_code(F.col(label)).alias("code")).where("code IS NOT NULL AND size >= 60")
+    chosen = rows.select("id", "code").distinct().withColumn("place", F.row_number().over(Window.partitionBy("code").orderBy(F.xxhash64("id"), "id"))).where(F.col("place") <= most).drop("place")
+    texts = documents.select(F.col(identity).cast("string").alias("id"), F.col(text).alias("t"), label_code(F.col(label)).alias("code"))
+    sample = texts.join(F.broadcast(chosen), ["id", "code"]).select("code", "id", "t").distinct().collect()  # most for each language
+    sample = sorted(sample, key=lambda r: (r.code, r.id, r.t))
+    spark = documents.sparkSession
+    settings = (HIDDEN, WINDOW, BATCH, STEPS, PRUNE, KEPT, *LANGUAGES)
+    key = xxhash.xxh64_hexdigest(repr(settings) + "".join(f"{r.code}\0{r.id}\0{r.t}\0" for r in sample))
+    path = f"{shared_dir(spark)}/languages-{key}"
+    try:
+        return {r.name: np.frombuffer(r.data, np.float32).reshape(r.shape) for r in spark.read.parquet(path).collect()}
+    except AnalysisException:  # not trained yet
+        pass
+    found, labels = [], []
+    for r in sample:
         for s in sentences(r.t)[:20]:
-            texts.append(s)
+            found.append(s)
             labels.append(LANGUAGES.index(r.code))
-    return train(texts, labels)
+    weights = train(found, labels)
+    rows = [(k, list(v.shape), v.astype(np.float32).tobytes()) for k, v in weights.items()]
+    spark.createDataFrame(rows, "name string, shape array<int>, data binary").coalesce(1).write.mode("overwrite").parquet(path)
+    return weights
 
 
 def document_languages(documents: DataFrame, weights: dict[str, np.ndarray], identity: str = "doc_id", text: str = "text", sure: float = 0.5) -> DataFrame:
@@ -240,13 +287,17 @@ def document_languages(documents: DataFrame, weights: dict[str, np.ndarray], ide
     known = documents.sparkSession.sparkContext.broadcast(weights)  # 256 x 72 numbers for each direction
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w = known.value
+        w, seen = known.value, {}  # sentences that occur again are read once
         for pdf in batches:
             rows = []
             for a in range(0, len(pdf), 2000):
                 part = pdf.iloc[a : a + 2000]
                 split = [sentences(t) if t else [] for t in part["t"]]
-                p = pooled(w, [s for x in split for s in x])
+                if len(seen) > MOST_SEEN:
+                    seen.clear()
+                fresh = list(dict.fromkeys(s for x in split for s in x if s not in seen))
+                seen.update(zip(fresh, pooled(w, fresh)))
+                p = [seen[s] for x in split for s in x]
                 at = 0
                 for i, own in zip(part["id"], split):
                     run: list = []

@@ -211,21 +211,32 @@ def weights():
 def test_gradients():
     rng = np.random.default_rng(0)
     n, steps, batch = 3, 5, 2
-    T, U, c = rng.normal(size=(256, 3 * n)), rng.normal(size=(n, 3 * n)), rng.normal(size=n)
-    x, mask = rng.integers(0, 4, (steps, batch)), np.ones((steps, batch))
+    w = {"Tf": rng.normal(size=(256, 3 * n)), "Tb": rng.normal(size=(256, 3 * n)), "Uf": rng.normal(size=(n, 3 * n)), "Ub": rng.normal(size=(n, 3 * n)), "cf": rng.normal(size=n), "cb": rng.normal(size=n)}
+    w = {k: v.astype(np.float32) for k, v in w.items()}
+    x, mask = rng.integers(0, 4, (steps, batch)).astype(np.uint8), np.ones((steps, batch), np.float32)
     mask[4, 1] = 0
-    g = rng.normal(size=(steps, batch, n)).astype(np.float32)
-    loss = lambda T, U, c: float((languages.run(x, mask, T, U, c)[0].astype(np.float64) * g).sum())
-    _, kept = languages.run(x, mask, T, U, c, True)
-    dT, dU, dc = languages.back(x, g, kept, T, U, c)
-    for a, d, at in ((T, dT, (1, 2)), (T, dT, (2, 7)), (U, dU, (1, 4)), (U, dU, (0, 8)), (c, dc, (1,))):
-        e = 1e-3
-        a[at] += e
-        up = loss(T, U, c)
-        a[at] -= 2 * e
-        down = loss(T, U, c)
-        a[at] += e
-        assert d[at] == pytest.approx((up - down) / (2 * e), rel=0.02, abs=2e-3)
+    g = rng.normal(size=(steps, 2, batch, n)).astype(np.float32)
+    loss = lambda: float((languages.run(x, mask, w)[0].astype(np.float64) * g).sum())
+    d = languages.back(x, g, languages.run(x, mask, w, True)[1], w)
+    for name, at in (("Tf", (1, 2)), ("Tb", (2, 7)), ("Uf", (1, 4)), ("Ub", (0, 8)), ("cf", (1,)), ("cb", (2,)), ("Tb", (0, 1))):
+        e = 1e-2
+        w[name][at] += e
+        up = loss()
+        w[name][at] -= 2 * e
+        down = loss()
+        w[name][at] += e
+        assert d[name][at] == pytest.approx((up - down) / (2 * e), rel=0.02, abs=2e-3)
+
+
+def test_weights_are_kept(spark, monkeypatch):
+    docs = [(n, " ".join(ss), k) for n, (k, ss) in enumerate(SENTENCES.items())]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    calls = []
+    monkeypatch.setattr(languages, "train", lambda texts, labels: calls.append(len(texts)) or languages.new_weights(np.random.default_rng(1), 6))
+    first, again = languages.fit(df), languages.fit(df.union(df).repartition(3))
+    assert len(calls) == 1 and all((first[k] == again[k]).all() for k in first)
+    languages.fit(df.where("doc_id > 0"))
+    assert len(calls) == 2
 
 
 def test_held_out(spark):
