@@ -1,8 +1,9 @@
 """Credentials embedded in source code and configuration: where they begin, and texts with them blanked.
 
-Configuration notations (assignments, object and JSON entries, environment lines, query strings, addresses,
-headers, call arguments, key blocks) are read as key paths with the byte offsets of their values. A value is a
-credential if its own shape says so (issuers' prefixes, signed sessions, key blocks), or if the key's name is
+The readers of ``configs`` give the values of configuration notations (object and JSON entries, assignments, call
+arguments, YAML, INI, property and environment lines) with the paths of their keys and where they stand in the
+bytes; query strings, addresses, headers, command options and remarks in comments are read by their own forms. A
+value is a credential if its own shape says so (issuers' prefixes, signed sessions, key blocks), or if its path is
 sensitive and the value is neither a placeholder nor read from elsewhere nor a mere name. Redactions are spliced
 into the original bytes at these offsets: quotes, line breaks and everything else stay.
 """
@@ -19,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.configs import byte_offset, line_entries, line_notation, literals, script_entries
+
 
 class Finding(NamedTuple):
     start: int  # where the credential begins, as characters
@@ -44,6 +47,13 @@ _SECRET = frozenset(
     "apikey apikeys accesskey secretkey privatekey signingkey encryptionkey session sessionid sessiontoken jwt bearer pat otp mdp motdepasse senha contrasena contraseña clave parola wachtwoord "
     "segreto secreto segredo cookie passkey pin".split()
 )
+_PHRASES = frozenset("password passphrase passwd pwd passwort kennwort senha contrasena contraseña wachtwoord".split())
+_SENTENCE_WORDS = frozenset("the your you and for must not with that this are has have was were will can cannot should from into least required invalid missing wrong please enter forgot reset change new old does did match too short long characters letters word words field input value label login user name".split())
+_GENERIC = ("value", "default", "str", "string", "text", "raw", "hex")
+_PLAIN = re.compile(r"^[A-Za-z0-9+/=_\-]{24,}$")
+_SOURCE = re.compile(r"(?:env|config|settings|options|vault|secrets?)\b[\w.$\[\]'\"(]*?[.\['\"(]([\w$]+)['\")\]]*\s*(?:\?\?|\|\|)\s*$")
+_LONG_TEMPLATE = re.compile(r"`((?:[^`\\\n]|\\.)*+\n(?:[^`\\]|\\.)*+)`")
+_LINE = re.compile(r"^[ \t]*(?:export[ \t]+)?([A-Za-z][A-Za-z0-9_]{3,})=([^\s'\"`;,(){}\[\]]{6,})[ \t]*\r?$", re.M)
 _KEY_OWNERS = frozenset("api access secret private signing encryption master shared service account auth client storage deploy license app session hmac webhook".split())
 _NAME_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-zà-ÿ]+|\d+")
 _PLACEHOLDER = re.compile(
@@ -55,21 +65,12 @@ _PLACEHOLDER = re.compile(
 _NAME_LIKE = re.compile(r"^[@./]?[A-Za-z]+(?:[._/:\-][A-Za-z0-9]+)*$|^[a-z]+(?:[._\-][a-z0-9]+)+$|^[A-Z]+(?:_[A-Z0-9]+)+$")
 _UUID = re.compile(r"^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$", re.I)
 
-#: Every literal on one line, of any length, so that the quotes pair up. A quote that opens does not follow a word
-#: (but for a few keywords) and one that closes does not precede one: apostrophes, and texts that begin within a
-#: literal, put only themselves out of step. Expressions are passed over with their quotes.
-_OPENS = "(?:(?<!\\w{0})|" + "|".join(rf"(?<=\b{word}{{0}})" for word in ("return", "case", "typeof", "throw", "default", "yield", "await", "from", "import")) + ")"
-_STRING = re.compile(
-    r"/(?:(?<=[(,=:\[!&|?;{}]/)|(?<=[(,=:\[!&|?;{}][ \t]/))(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
-    rf"|'{_OPENS.format("'")}((?:[^'\\\n]|\\.)*+)'(?!\w)|\"{_OPENS.format(chr(34))}((?:[^\"\\\n]|\\.)*+)\"(?!\w)|`((?:[^`\\\n]|\\.)*+)`"
-)
-_KEY_BEFORE = re.compile(r"(?:([\w$À-ÿ][\w$À-ÿ.\-]*)|['\"]([^'\"\n]{1,80})['\"])\]?\s*(?:\?)?(?::\s*[\w<>\[\]| ]{1,40}=|[:=](?![=>]))\s*(?:[^'\"`;,{}\n]*?(?:\?\?|\|\||\?[^:\n]*:)\s*|[\w.$]+\(\s*)?$")
-_INNER_ENTRY = re.compile(r"\\?\"([\w.\-]{1,60})\\?\"\s*:\s*\\?\"((?:[^\"\\]|\\[^\"])*)\\?\"")
-_CALL_BEFORE = re.compile(r"(?:\b|_)(?:log_?in|sign_?in|log_?on|authenticate|auth|connect\w*|basic_?auth|set_?credentials|with_?credentials|bind)\w{0,8}\(\s*['\"`][^'\"`\n]{1,80}['\"`]\s*,\s*$", re.I)
+_INNER_ENTRY = re.compile(r"\\?\"([\w.\-]+)\\?\"\s*:\s*\\?\"((?:[^\"\\]|\\[^\"])*)\\?\"")
+_CALL = re.compile(r"(?:\b|_)(?:log_?in|sign_?in|log_?on|authenticate|auth|connect\w*|basic_?auth|set_?credentials|with_?credentials|bind)\w{0,8}$", re.I)
 _USERINFO = re.compile(r"[a-z][a-z0-9+.\-]{1,20}://[^\s/:@'\"`<>]*:([^\s/@'\"`]{3,})@", re.I)
 _QUERY = re.compile(r"[?&]((?:[\w\-]*(?:token|key|secret|password|passwd|pwd|sig|signature|auth))|code|session\w*)=([^&\s'\"`#)]{6,})", re.I)
 _HEADER = re.compile(r"\b(Basic|Bearer|Token)\s+([A-Za-z0-9+/._~=\-]{8,})", re.I)
-_ENV = re.compile(r"(?:\bexport\s+|\bset\s+|^[\s/*#>\-]*|\benv\s+)([A-Za-z_][\w.]{2,60})\s*=\s*['\"]?([^\s'\"`;,]{6,})", re.M)
+_ENV = re.compile(r"(?:\bexport\s+|\bset\s+|^[\s/*#>\-]*|\benv\s+)([A-Za-z_][\w.]{2,})\s*=\s*['\"]?([^\s'\"`;,]{6,})", re.M)
 _SAID = re.compile(
     r"\b(pass(?:word|wd|phrase|code)?|pwd|pw|secret|token|api[ _-]?key|key|log-?in|credentials?|kennwort|passwort|mot de passe|mdp|senha|contraseña|contrasena|clave|parola)\b"
     r"(?:\s+(?:for|of|on|to|in|at)\s+[\w.\-]+)?\s*(?:\b(?:is|was|are|were|ist|war|est|era|es)\b|[:=])\s*(?:['\"`])?(?:[\w.@\-]{2,40}\s+/\s+|[\w.@\-]{2,40}:(?=\S))?([^\s'\"`]{6,})",
@@ -110,35 +111,33 @@ def password_like(value: str) -> bool:
     return bool(re.search(r"\d", value) or re.search(r"[!$%&*?#^+~]|-$", value)) and bool(re.search(r"[A-Za-z]", value))
 
 
-def sensitive(name: str) -> bool:
-    """Whether the value under this name is secret: judged by its last words."""
+def passphrase_like(value: str) -> bool:
+    """Letters only: four to nine words in small letters, none of which makes a sentence, or one of sixteen letters or more."""
+    words = re.split(r"[ \-]", value)
+    if not all(re.match(r"^[a-z]{3,12}$", w) for w in words):
+        return re.match(r"^[a-z]{16,}$", value) is not None and not _PLACEHOLDER.match(value)
+    return 4 <= len(words) <= 9 and not _SENTENCE_WORDS.intersection(words)
+
+
+def _last_words(name: str) -> list[str]:
     words = [w.lower() for w in _NAME_WORDS.findall(name.rsplit(".", 1)[-1] if "." in name else name)]
-    while words and (words[-1].isdigit() or words[-1] in ("value", "default", "str", "string", "text", "raw", "hex")):
+    while words and (words[-1].isdigit() or words[-1] in _GENERIC):
         words.pop()
-    if not words:
-        return False
-    if words[-1] in _SECRET or "".join(words[-2:]) in _SECRET or "".join(words[-3:]) in _SECRET:
-        return True
-    return words[-1] in ("key", "keys") and len(words) > 1 and words[-2] in _KEY_OWNERS
+    return words
 
 
-def key_path(text: str, at: int, name: str) -> str:
-    """The name with those of the objects around it on the lines above, up to ten levels."""
-    path, depth, indent = [name], 0, None
-    for line in reversed(text[max(0, at - 4000) : at].split("\n")[:-1][-60:]):
-        stripped = line.strip()
-        if not stripped:
-            continue
-        width = len(line) - len(line.lstrip())
-        if indent is None:
-            indent = width + 1
-        if stripped.endswith("{") and width < indent:
-            m = re.search(r"([\w$]+)['\"]?\s*(?::[^=]*=|[:=])\s*\{$", stripped)
-            if not m or depth > 10:
-                break
-            path.append(m[1])
-            indent, depth = width, depth + 1
-    return ".".join(reversed(path))
+def sensitive(path: tuple[str, ...], secret: frozenset[str] | None = None) -> bool:
+    """Whether the value at the end of these keys is secret: by the last words of the last key that says something."""
+    for name in reversed(path):
+        words = _last_words(name)
+        if not words:
+            continue  # as in password: { value: ... }
+        if secret is not None:
+            return words[-1] in secret
+        if words[-1] in _SECRET or "".join(words[-2:]) in _SECRET or "".join(words[-3:]) in _SECRET:
+            return True
+        return words[-1] in ("key", "keys") and len(words) > 1 and words[-2] in _KEY_OWNERS
+    return False
 
 
 def _key_block(text: str, m: re.Match[str]) -> Finding | None:
@@ -164,6 +163,11 @@ def _key_block(text: str, m: re.Match[str]) -> Finding | None:
     return Finding(m.start(), tuple(spans), "", "private key") if spans or at >= len(text) else None
 
 
+def _worth_reading(value: str) -> bool:
+    """Whether a value could be a credential under some key."""
+    return len(value) >= 6 and (_PLAIN.match(value) is not None or '":' in value or password_like(value) or passphrase_like(value))
+
+
 def find_credentials(text: str) -> list[Finding]:
     """All credentials of a text, by where they begin; none overlap."""
     if not text:
@@ -210,43 +214,50 @@ def find_credentials(text: str) -> list[Finding]:
     for m in ISSUED.finditer(text):
         if m.start() == 0 or not (text[m.start() - 1].isalnum() or text[m.start() - 1] in "_-"):
             add(m.start(), m.end(), "", "issued")
-    for m in _STRING.finditer(text):
-        group = m.lastindex
-        if group is None or m.end(group) - m.start(group) < 6:
-            continue
-        value, start, stop = m[group], m.start(group), m.end(group)
-        if " " in value and '"' not in value:
+    for start, stop in [(0, len(text)), *(m.span(1) for m in _LONG_TEMPLATE.finditer(text))]:
+        notation = line_notation(text[start:stop])
+        for e in line_entries(text[start:stop], notation, start) if notation else ():
+            value = text[e.start : e.stop]
+            if sensitive(e.path) and password_like(value) or passphrase_like(value) and sensitive(e.path, _PHRASES):
+                add(e.start, e.stop, ".".join(e.path), notation)
+    for e in script_entries(text) if any(map(_worth_reading, literals(text))) else ():
+        value = text[e.start : e.stop]
+        if len(value) < 6:
             continue
-        line = text.rfind("\n", 0, m.start()) + 1
-        before = text[max(line, m.start() - 240) : m.start()]
         if '":' in value and value.lstrip().startswith("{"):
-            for e in _INNER_ENTRY.finditer(text, start, stop):
-                if sensitive(e[1]) and password_like(e[2]):
-                    add(e.start(2), e.end(2), e[1], "entry")
+            for inner in _INNER_ENTRY.finditer(text, e.start, e.stop):
+                if sensitive((*e.path, inner[1])) and password_like(inner[2]):
+                    add(inner.start(2), inner.end(2), ".".join((*e.path, inner[1])), "entry")
             continue
-        if m.start() - line <= 240 and before.count("'") % 2 and text[m.start()] != "'":
-            continue  # inside another string
+        if "\n" in value:
+            continue  # read by lines below
         likely = password_like(value)
-        if not likely and (len(value) < 24 or not re.match(r"^[A-Za-z0-9+/=_\-]+$", value)):
+        if not likely and not _PLAIN.match(value) and not passphrase_like(value):
+            continue
+        if text[e.start - 1] != "'" and text.count("'", text.rfind("\n", 0, e.start) + 1, e.start - 1) % 2:
+            continue  # inside another string
+        if e.role == "argument":
+            if likely and _CALL.search(text[e.lead : text.find("(", e.lead)]):
+                add(e.start, e.stop, "argument", "argument")
+            continue
+        name, path = e.path[-1], ".".join(e.path)
+        if passphrase_like(value) and sensitive(e.path, _PHRASES):
+            add(e.start, e.stop, path, "entry")
+            continue
+        if not likely and not _PLAIN.match(value):
             continue
-        key = _KEY_BEFORE.search(before)
-        if key:
-            name = key[1] or key[2]
-            strong = sensitive(name)
-            fallback = re.search(r"(?:\?\?|\|\|)\s*$", before)
-            if not strong and fallback:
-                source = re.search(r"(?:env|config|settings|options|vault|secrets?)\b[\w.$\[\]'\"(]*?[.\['\"(]([\w$]+)['\")\]]*\s*(?:\?\?|\|\|)\s*$", before)
-                strong = bool(source) and (sensitive(source[1]) or re.search(r"(?i)key$", source[1]) is not None and name.lower().endswith("key"))
-            if strong and likely:
-                add(start, stop, key_path(text, m.start(), name), "entry")
-            elif re.search(r"(?i)(?<!public)(?<!public_)key$", name) and re.match(r"^[A-Za-z0-9+/=_\-]{24,}$", value) and all(re.search(x, value) for x in ("[a-z]", "[A-Z]", r"\d")) and not re.match(r"^(?:sha\d|data)", value):
-                add(start, stop, key_path(text, m.start(), name), "entry")
-            elif opaque(value, 24) and re.match(r"^[A-Za-z0-9+/=_\-]+$", value) and not re.search(r"(?i)checksum|digest|hash|commit|revision|integrity|\bid$|icon|image|public|etag|sri", name):
-                eol = text.find("\n", stop)
-                if _COMMENT_SECRET.search(text, stop, len(text) if eol < 0 else eol):
-                    add(start, stop, key_path(text, m.start(), name), "entry")
-        elif likely and _CALL_BEFORE.search(before):
-            add(start, stop, "argument", "argument")
+        strong = sensitive(e.path)
+        if not strong and e.role == "fallback":
+            source = _SOURCE.search(text[e.lead : e.start - 1])
+            strong = bool(source) and (sensitive((source[1],)) or re.search(r"(?i)key$", source[1]) is not None and name.lower().endswith("key"))
+        if strong and likely:
+            add(e.start, e.stop, path, "entry")
+        elif re.search(r"(?i)(?<!public)(?<!public_)key$", name) and len(value) >= 24 and _PLAIN.match(value) and all(re.search(x, value) for x in ("[a-z]", "[A-Z]", r"\d")) and not re.match(r"^(?:sha\d|data)", value):
+            add(e.start, e.stop, path, "entry")
+        elif opaque(value, 24) and _PLAIN.match(value) and not re.search(r"(?i)checksum|digest|hash|commit|revision|integrity|\bid$|icon|image|public|etag|sri", name):
+            eol = text.find("\n", e.stop)
+            if _COMMENT_SECRET.search(text, e.stop, len(text) if eol < 0 else eol):
+                add(e.start, e.stop, path, "entry")
     for m in _USERINFO.finditer(text):
         value = m[1]
         if not ("${" in value or re.match(r"^[<{$\[]|^%[a-z_]+%$", value) or _PLACEHOLDER.match(value) or re.match(r"^(?:password|passwd|pass|pwd|secret|token)$", value, re.I)):
@@ -267,7 +278,7 @@ def find_credentials(text: str) -> list[Finding]:
             add(m.start(2), m.end(2), m[1], "header")
     for c in _COMMENT.finditer(text):
         for m in _ENV.finditer(text, c.start(), c.end()):
-            if sensitive(m[1]) and password_like(m[2]):
+            if sensitive((m[1],)) and password_like(m[2]):
                 add(m.start(2), m.end(2), m[1], "environment")
         for m in _SAID.finditer(text, c.start(), c.end()):
             value = m[2].rstrip(".,;)") or m[2]
@@ -277,8 +288,8 @@ def find_credentials(text: str) -> list[Finding]:
         g = m.lastindex
         if password_like(m[g]) and re.search(r"\d", m[g]):
             add(m.start(g), m.end(g), "option", "option")
-    for m in re.finditer(r"^[ \t]*(?:export[ \t]+)?([A-Z][A-Z0-9_]{3,60})=([^\s'\"`;,]{6,})[ \t]*\r?$", text, re.M):
-        if sensitive(m[1]) and password_like(m[2]):
+    for m in _LINE.finditer(text):
+        if sensitive((m[1],)) and password_like(m[2]):
             add(m.start(2), m.end(2), m[1], "environment")
     found.sort(key=lambda f: (f.start, -len(f.spans), -max((b for _, b in f.spans), default=0)))
     out: list[Finding] = []
@@ -293,28 +304,26 @@ def find_credentials(text: str) -> list[Finding]:
 def redacted(text: str, findings: list[Finding], blank: str = "REDACTED") -> str:
     """The text with each span replaced, spliced in the bytes of its UTF-8 form."""
     data = text.encode("utf-8", "surrogatepass")
-    plain = len(data) == len(text)
-    offset = (lambda i: i) if plain else (lambda i: len(text[:i].encode("utf-8", "surrogatepass")))
-    parts, at = [], 0
+    parts, at, done = [], 0, 0
     for start, stop in sorted(s for f in findings for s in f.spans):
-        a, b = offset(start), offset(stop)
+        a = at + len(text[done:start].encode("utf-8", "surrogatepass"))
         parts += [data[at:a], blank.encode()]
-        at = b
+        at, done = a + len(text[start:stop].encode("utf-8", "surrogatepass")), stop
     return b"".join([*parts, data[at:]]).decode("utf-8", "surrogatepass")
 
 
 def credential_lines(df: DataFrame, identity: str, text: str) -> DataFrame:
-    """``id``, ``line`` (from 1), ``kind``, ``path`` of each credential, once for rows delivered twice.
+    """``id``, ``line`` (from 1), ``kind``, ``path`` and, in bytes, ``start`` of each credential, once for rows delivered twice.
 
     Each row is read whole, where it lies. Null and empty texts hold none; a null id is kept as null.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(i, t.count("\n", 0, f.start) + 1, f.kind, f.path) for i, t in zip(pdf["id"], pdf["t"]) if t for f in find_credentials(t)]
-            yield pd.DataFrame(rows, columns=["id", "line", "kind", "path"])
+            rows = [(i, t.count("\n", 0, f.start) + 1, f.kind, f.path, byte_offset(t, f.start)) for i, t in zip(pdf["id"], pdf["t"]) if t for f in find_credentials(t)]
+            yield pd.DataFrame(rows, columns=["id", "line", "kind", "path", "start"])
 
-    return df.select(F.col(identity).alias("id"), F.col(text).alias("t")).mapInPandas(scan, "id string, line int, kind string, path string").distinct()
+    return df.select(F.col(identity).alias("id"), F.col(text).alias("t")).mapInPandas(scan, "id string, line int, kind string, path string, start bigint").distinct()
 
 
 def redact(df: DataFrame, text: str, into: str = "redacted") -> DataFrame:
