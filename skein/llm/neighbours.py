@@ -1,24 +1,26 @@
 """The k most similar vectors of every vector: a block matrix join with int8 product tiles.
 
-Vectors are put into blocks by their nearest centroid (spherical k-means on a bounded sample) and blocks into
-groups of similar centroids. A vector is asked against the ``probes`` blocks nearest to it; it travels once to
-each group that holds some of them. A tile is the part of a group that one task gets: its sides are bounded,
-a larger group is split on both sides. Within a tile the int8 codes of queries and data are multiplied (as
-whole numbers, in a float matrix product, which is exact below 2**24); with the quantisation errors of both
-sides that bounds every cosine from below and above. Pairs whose upper bound reaches the k-th best lower bound
-survive and are recomputed in double precision from the original vectors; each step's are merged at once into
-the k best of its queries, so a tile never holds more pairs than one step's. The tiles' best lists are merged
-for each query.
+Vectors are put into blocks by their nearest centroid; the centroids form a tree of two levels (cells of similar
+blocks), so finding a vector's blocks does not take longer with more of them, and their number grows with that of
+the vectors. A vector is asked against the ``probes`` blocks nearest to it, so it meets about ``probes *
+block_rows`` others, however many there are. A tile is what one task multiplies: some blocks of a cell and the
+vectors that ask them; both sides are bounded, a vector travels once to each tile that holds some of its blocks.
+Within a tile the int8 codes of queries and data are multiplied (as whole numbers, in a float matrix product,
+which is exact below 2**24); with the quantisation errors of both sides that bounds every cosine from below and
+above. Pairs whose upper bound reaches the k-th best lower bound survive and are recomputed in double precision
+from the original vectors; each step's are merged at once into the k best of its queries, so a tile never holds
+more pairs than one step's. The tiles' best lists are merged for each query.
 
 The loss: neighbours in blocks that weren't probed are missed. With no more blocks than ``probes`` (up to
-about ``probes * block_rows`` vectors) the answer is exact. Equal vectors are compared once and expanded at
-the end.
+about ``probes * block_rows`` vectors), or with ``probes=None``, the answer is exact. Equal vectors are compared
+once and expanded at the end.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -28,10 +30,13 @@ from pyspark.sql import functions as F
 from skein.operators.skew import skew_join
 from skein.session import materialize
 
-#: Rows of the sample that centroids are fitted on: this many for each centroid, and so at most MAX_BLOCKS times as many.
+#: Rows of the sample that centroids are fitted on, for each centroid. The driver fits up to FLAT_BLOCKS of them; with
+#: more blocks it fits those of the cells, and tasks fit the blocks' within each cell, on as many rows for each.
 SAMPLE_PER_BLOCK = 24
-MAX_BLOCKS = 4096
-BLOCKS_PER_GROUP = 32
+FLAT_BLOCKS = 4096
+#: Blocks are 64 MB of centroids at 64 dimensions, which every task knows; beyond this number they hold more vectors.
+MAX_BLOCKS = 262_144
+BLOCKS_PER_CELL, PROBED_CELLS = 32, 8
 TILE_DATA, TILE_QUERIES = 32_768, 49_152
 STEP, WIDTH = 1024, 4096
 #: Pairs for each query of a step from which they are pruned in double precision before they are listed.
@@ -127,9 +132,101 @@ def usable(df: DataFrame, vector: str, size: int) -> DataFrame:
     return df.where(F.coalesce((F.size(vector) == size) & fine, F.lit(False)))
 
 
-def similar_vectors(df: DataFrame, identity: str, vector: str, size: int, k: int = 5, probes: int = 16, block_rows: int = 768) -> DataFrame:
+class Tree(NamedTuple):
+    """Centroids of blocks, in the order of their cells; block i lies in cell ``cell[i]``, ``first`` has where a cell's begin."""
+
+    blocks: np.ndarray
+    cells: np.ndarray
+    cell: np.ndarray
+    first: np.ndarray
+    flat: bool
+
+    def nearest(self, rows: np.ndarray, probes: int) -> np.ndarray:
+        """The ``probes`` nearest blocks of each row, the nearest first: among those of its nearest cells if there are many blocks."""
+        count = len(self.blocks)
+        if self.flat or probes >= count:
+            near = rows @ self.blocks.T
+            return np.argsort(-near, axis=1, kind="stable")[:, :probes].astype(np.int32)
+        cells = np.argsort(-(rows @ self.cells.T), axis=1, kind="stable")[:, : max(PROBED_CELLS, -(-2 * probes // BLOCKS_PER_CELL))]
+        widest = int(np.diff(self.first).max())
+        score = np.full((len(rows), cells.shape[1], widest), -np.inf, np.float32)
+        for c in np.unique(cells):
+            who, place = np.nonzero(cells == c)
+            own = slice(self.first[c], self.first[c + 1])
+            score[who, place, : own.stop - own.start] = rows[who] @ self.blocks[own].T
+        score = score.reshape(len(rows), -1)
+        best = np.argsort(-score, axis=1, kind="stable")[:, :probes]
+        best = np.where(np.take_along_axis(score, best, 1) > -np.inf, best, best[:, :1])  # fewer than asked for: the nearest again
+        return (self.first[cells[np.arange(len(rows))[:, None], best // widest]] + best % widest).astype(np.int32)
+
+
+def fit_tree(vectors: DataFrame, total: int, count: int, flat: int = FLAT_BLOCKS) -> Tree:
+    """Centroids for ``count`` blocks of the ``vectors`` (n, v). The sample is drawn by a hash of n."""
+
+    def sample(size: int) -> DataFrame:
+        return vectors.where(F.pmod(F.xxhash64("n"), F.lit(max(1, total // size))) == 0).select("v")
+
+    def known(size: int) -> np.ndarray:
+        rows = [r.v for r in sample(size).limit(size).collect()]
+        return unit(np.array(rows or [vectors.first().v], dtype=np.float32)).astype(np.float32)
+
+    if count <= flat:
+        blocks = centroids(known(count * SAMPLE_PER_BLOCK), count)
+        cells = centroids(blocks, max(1, len(blocks) // BLOCKS_PER_CELL))
+        cell = np.argmax(blocks @ cells.T, axis=1)
+        order = np.argsort(cell, kind="stable")
+        blocks, cell = blocks[order], cell[order]
+    else:
+        few = max(1, min(count // BLOCKS_PER_CELL, flat))
+        cells = centroids(known(few * SAMPLE_PER_BLOCK), few)
+        tops = vectors.sparkSession.sparkContext.broadcast(cells)
+
+        def to_cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    rows = unit(np.array(pdf["v"].tolist(), dtype=np.float32)).astype(np.float32)
+                    yield pd.DataFrame({"cell": np.argmax(rows @ tops.value.T, axis=1).astype(np.int32), "vec": [x.tobytes() for x in rows]})
+
+        def split(pdf: pd.DataFrame) -> pd.DataFrame:
+            rows = np.frombuffer(b"".join(pdf["vec"]), np.float32).reshape(len(pdf), -1)
+            own = centroids(rows, max(1, round(len(rows) / SAMPLE_PER_BLOCK)))
+            return pd.DataFrame({"cell": pdf["cell"].iloc[0], "middle": [x.tobytes() for x in own]})
+
+        rows = sample(count * SAMPLE_PER_BLOCK).mapInPandas(to_cell, "cell int, vec binary").groupBy("cell").applyInPandas(split, "cell int, middle binary").collect()  # no more than MAX_BLOCKS, about
+        rows = sorted(rows, key=lambda r: (r.cell, r.middle))
+        blocks, cell = np.array([np.frombuffer(r.middle, np.float32) for r in rows]), np.array([r.cell for r in rows])
+    return Tree(blocks, cells, cell, np.searchsorted(cell, np.arange(len(cells) + 1)), count <= flat)
+
+
+class Tiling(NamedTuple):
+    """Tiles of each block: ``first`` its first one, ``many`` how many share it; ``parts``: how many each tile's queries are split into."""
+
+    first: np.ndarray
+    many: np.ndarray
+    parts: np.ndarray
+
+
+def lay_out(cell: np.ndarray, data: np.ndarray, asked: np.ndarray, most_data: int = TILE_DATA, most_queries: int = TILE_QUERIES) -> Tiling:
+    """Blocks one after the other into tiles of their cell, as long as the data rows fit; a larger block has tiles of its own."""
+    first, many = np.zeros(len(cell), np.int64), np.ones(len(cell), np.int64)
+    held, queries, here = 0, [0], -1
+    for b, (c, d, q) in enumerate(zip(cell.tolist(), data.tolist(), asked.tolist())):
+        own = max(1, -(-d // most_data))
+        if held and (c != here or held + d > most_data):
+            held = 0
+            queries.append(0)
+        first[b], many[b], here = len(queries) - 1, own, c
+        queries[-1] += q
+        held += d
+        if own > 1:
+            queries += [q] * (own - 1)
+            held = most_data
+    return Tiling(first, many, np.maximum(1, -(-np.array(queries) // most_queries)))
+
+
+def similar_vectors(df: DataFrame, identity: str, vector: str, size: int, k: int = 5, probes: int | None = 16, block_rows: int = 768, flat: int = FLAT_BLOCKS) -> DataFrame:
     """``id``, ``neighbour``, ``similarity``: for each usable vector the k others with the largest cosine; at equal
-    cosine the smaller id comes first.
+    cosine the smaller id comes first. Without ``probes`` all blocks are asked, which is exact.
 
     Null ids and vectors that are null, of another length, not finite or all zero take no part. Rows delivered
     twice count once; if an id comes with different vectors, each is a row of its own and the id is never its
@@ -143,44 +240,52 @@ def similar_vectors(df: DataFrame, identity: str, vector: str, size: int, k: int
     total = classes.count()
     if total == 0:
         return rows.select("id", F.col("id").alias("neighbour"), F.lit(0.0).alias("similarity")).limit(0)
-    count = int(min(MAX_BLOCKS, max(1, round(total / block_rows))))
-    every = max(1, total // (count * SAMPLE_PER_BLOCK))
-    sample = [r.v for r in classes.where(F.pmod(F.xxhash64("n"), F.lit(every)) == 0).select("v").limit(count * SAMPLE_PER_BLOCK).collect()]
-    sample = unit(np.array(sample or [classes.first().v], dtype=np.float32)).astype(np.float32)
-    middle = centroids(sample, count)
-    count, probes = len(middle), min(probes, len(middle))
-    group_of = np.argmax(middle @ centroids(middle, max(1, count // BLOCKS_PER_GROUP)).T, axis=1)
-    known = spark.sparkContext.broadcast((middle, group_of))  # bounded: MAX_BLOCKS rows
+    tree = fit_tree(classes, total, int(min(MAX_BLOCKS, max(1, round(total / block_rows)))), flat)
+    count = len(tree.blocks)
+    probes = count if probes is None else min(probes, count)
+    known = spark.sparkContext.broadcast(tree)
+
+    def count_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree = known.value
+        data, asked = np.zeros(count, np.int64), np.zeros(count, np.float64)
+        for pdf in batches:
+            if len(pdf):
+                best = tree.nearest(unit(np.array(pdf["v"].tolist(), dtype=np.float32)).astype(np.float32), probes)
+                data += np.bincount(best[:, 0], minlength=count)
+                cells = (np.diff(np.sort(tree.cell[best], axis=1), axis=1) != 0).sum(axis=1) + 1
+                once = np.repeat(cells / best.shape[1], best.shape[1])  # a query's blocks in one cell come to one tile, mostly
+                asked += np.bincount(best.ravel(), weights=once, minlength=count)
+        there = np.flatnonzero((data > 0) | (asked > 0))
+        yield pd.DataFrame({"b": there.astype(np.int32), "d": data[there], "q": asked[there]})
+
+    counted = classes.select("v").mapInPandas(count_rows, "b int, d bigint, q double").groupBy("b").agg(F.sum("d").alias("d"), F.sum("q").alias("q")).collect()  # one row for each block
+    data, asked = np.zeros(count, np.int64), np.zeros(count, np.int64)
+    for r in counted:
+        data[r.b], asked[r.b] = r.d, int(r.q) + 1
+    tiling = lay_out(tree.cell, data, asked, TILE_DATA, TILE_QUERIES)
+    plan = spark.sparkContext.broadcast(tiling)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        middle, group_of = known.value
+        tree, tiles = known.value, plan.value
         for pdf in batches:
             if pdf.empty:
                 continue
-            raw = np.array(pdf["v"].tolist(), dtype=np.float32)
-            near = unit(raw).astype(np.float32) @ middle.T
-            best = np.argsort(-near, axis=1, kind="stable")[:, :probes].astype(np.int32)
-            yield pd.DataFrame({
-                "n": pdf["n"], "vec": [x.tobytes() for x in raw], "block": best[:, 0],
-                "asks": [[{"g": int(g), "blocks": b[group_of[b] == g].tolist()} for g in np.unique(group_of[b])] for b in best],
-            })
-
-    assigned = classes.select("n", "v").mapInPandas(assign, "n bigint, vec binary, block int, asks array<struct<g:int, blocks:array<int>>>")
-    home = F.array(*[F.lit(int(g)) for g in group_of])[F.col("block")] if count <= 64 else F.element_at(F.lit([int(g) for g in group_of]), F.col("block") + 1)
-    data = assigned.select("n", "vec", "block", home.alias("g"))
-    asks = assigned.select(F.col("n").alias("query"), F.col("vec").alias("qvec"), F.explode("asks").alias("ask")).select("query", "qvec", "ask.g", "ask.blocks")
-    sizes = {r.g: (r.d, r.q) for r in assigned.select(F.explode("asks.g").alias("g"), home.alias("h")).groupBy("g").agg(F.count_if(F.col("g") == F.col("h")).alias("d"), F.count("*").alias("q")).collect()}
-    parts = {g: (-(-d // TILE_DATA), -(-q // TILE_QUERIES)) for g, (d, q) in sizes.items()}
-
-    def tiled(side: DataFrame, key: str, own: int) -> DataFrame:
-        """One row for each tile of its group: its own part on its own side, all parts of the other side."""
-        split = {g: p for g, p in parts.items() if max(p) > 1}
-        part, other = F.lit(0), F.lit(1)
-        for g, p in split.items():
-            part = F.when(F.col("g") == g, F.pmod(F.xxhash64(key), F.lit(max(1, p[own])))).otherwise(part)
-            other = F.when(F.col("g") == g, F.lit(max(1, p[1 - own]))).otherwise(other)
-        side = side.withColumn("mine", part.cast("int")).withColumn("its", F.explode(F.sequence(F.lit(0), other.cast("int") - 1)))
-        return side.withColumn("tile", F.struct("g", *([F.col("mine").alias("a"), F.col("its").alias("b")] if own == 0 else [F.col("its").alias("a"), F.col("mine").alias("b")]))).drop("g", "mine", "its")
+            raw, n = np.array(pdf["v"].tolist(), dtype=np.float32), pdf["n"].to_numpy()
+            best = tree.nearest(unit(raw).astype(np.float32), probes)
+            home = tiles.first[best[:, 0]] + n % tiles.many[best[:, 0]]
+            asks = []
+            for i, blocks in zip(n.tolist(), best):
+                own: dict[int, list[int]] = {}
+                for b in dict.fromkeys(blocks.tolist()):
+                    for t in range(tiles.first[b], tiles.first[b] + tiles.many[b]):
+                        own.setdefault(t, []).append(b)
+                asks.append([{"tile": t, "part": i % int(tiles.parts[t]), "blocks": bs} for t, bs in own.items()])
+            yield pd.DataFrame({"n": n, "vec": [x.tobytes() for x in raw], "block": best[:, 0], "home": home.astype(np.int32), "parts": tiles.parts[home].astype(np.int32), "asks": asks})
+
+    assigned = classes.select("n", "v").mapInPandas(assign, "n bigint, vec binary, block int, home int, parts int, asks array<struct<tile:int, part:int, blocks:array<int>>>")
+    many = min(20_000, 2 * int(tiling.parts.sum()))
+    data = assigned.select("n", "vec", "block", F.col("home").alias("tile"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).repartition(many, "tile", "part")
+    asks = assigned.select(F.col("n").alias("query"), F.col("vec").alias("qvec"), F.explode("asks").alias("ask")).select("query", "qvec", "ask.*").repartition(many, "tile", "part")
 
     def tile(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"query": [], "best": []}
@@ -220,7 +325,7 @@ def similar_vectors(df: DataFrame, identity: str, vector: str, size: int, k: int
                     out["best"].append([{"n": i, "s": -s} for s, i in heapq.nsmallest(k, best)])
         return pd.DataFrame({"query": pd.Series(out["query"], dtype="int64"), "best": pd.Series(out["best"], dtype=object)})
 
-    found = tiled(asks, "query", 1).groupBy("tile").cogroup(tiled(data, "n", 0).groupBy("tile")).applyInPandas(tile, "query bigint, best array<struct<n:bigint, s:double>>")
+    found = asks.groupBy("tile", "part").cogroup(data.groupBy("tile", "part")).applyInPandas(tile, "query bigint, best array<struct<n:bigint, s:double>>")
 
     def better(by: str):
         return lambda a, b: F.when(a["s"] > b["s"], -1).when(a["s"] < b["s"], 1).when(a[by] < b[by], -1).when(a[by] > b[by], 1).otherwise(0)
@@ -230,9 +335,9 @@ def similar_vectors(df: DataFrame, identity: str, vector: str, size: int, k: int
     near = merged.select("query", F.explode("best").alias("b")).select("query", F.col("b.n").alias("n"), F.col("b.s").alias("s")).join(names, "n")
     near = near.groupBy("query").agg(F.flatten(F.collect_list(F.transform(F.slice("ids", 1, k), lambda i: F.struct(i.alias("id"), F.col("s").alias("s"))))).alias("best"))
     listed = names.withColumnRenamed("n", "query").join(near, "query", "left").withColumn("best", F.coalesce("best", F.array().cast("array<struct<id:string,s:double>>")))
-    several = classes.where(F.size("ids") > 1).select(F.col("n").alias("query"), "v")
-    copies = skew_join(rows, several, ["v"], "inner").select("query", "id").distinct()
-    members = listed.where(F.size("ids") == 1).withColumn("id", F.col("ids")[0]).unionByName(copies.join(listed, "query").select("query", "ids", "best", "id"))
+    several = classes.where(F.size("ids") > 1).select(F.col("n").alias("query"), "v").join(listed, "query")
+    copies = skew_join(rows, several, ["v"], "inner").select("id", "ids", "best").distinct()
+    members = listed.where(F.size("ids") == 1).select(F.col("ids")[0].alias("id"), "ids", "best").unionByName(copies)
     own = F.transform("ids", lambda i: F.struct(i.alias("id"), F.lit(1.0).alias("s")))
     every_one = F.filter(F.concat(own, "best"), lambda x: x["id"] != F.col("id"))
     top = members.select("id", F.explode(F.slice(F.array_sort(every_one, better("id")), 1, k)).alias("n"))

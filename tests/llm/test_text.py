@@ -45,6 +45,48 @@ def test_recall_with_many_blocks(spark):
     assert len(got) == len(want) and len(got & want) / len(want) >= 0.9
 
 
+def test_blocks_of_two_levels(spark, monkeypatch):
+    """Recall with a tree of centroids fitted in tasks; exact when all blocks are asked."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(60, 16))
+    vectors = {f"{i:05d}": (centres[i % 60] + 0.4 * rng.normal(size=16)).astype(np.float32).tolist() for i in range(4000)}
+    df = spark.createDataFrame(list(vectors.items()), "id string, e array<float>")
+    want = brute_neighbours(vectors, 5)
+    monkeypatch.setattr(neighbours, "TILE_DATA", 700)
+    got = {(r.id, r.neighbour) for r in neighbours.similar_vectors(df, "id", "e", 16, 5, probes=12, block_rows=40, flat=16).collect()}
+    assert len(got) == len(want) and len(got & want) / len(want) >= 0.9
+    few = dict(list(vectors.items())[:900])
+    exact = neighbours.similar_vectors(df.where("id < '00900'"), "id", "e", 16, 5, probes=None, block_rows=40, flat=8)
+    assert {(r.id, r.neighbour) for r in exact.collect()} == brute_neighbours(few, 5)
+
+
+def test_products_grow_with_the_vectors():
+    """Comparisons of a vector with others, counted from the blocks it asks, at three sizes."""
+    rng = np.random.default_rng(7)
+    counts = []
+    for n in (2000, 8000, 32000):
+        rows = neighbours.unit(rng.normal(size=(n, 12))).astype(np.float32)
+        cells = neighbours.centroids(rows[: n // 2], n // 50 // 8)
+        cell = np.argmax(rows[: n // 2] @ cells.T, axis=1)
+        own = [neighbours.centroids(rows[: n // 2][cell == c], max(1, int((cell == c).sum() / 25))) for c in range(len(cells))]
+        tree = neighbours.Tree(np.concatenate(own), cells, np.repeat(np.arange(len(cells)), [len(x) for x in own]), np.concatenate([[0], np.cumsum([len(x) for x in own])]), False)
+        best = tree.nearest(rows, 12)
+        held = np.bincount(best[:, 0], minlength=len(tree.blocks))
+        counts.append(held[best].sum())
+        tiling = neighbours.lay_out(tree.cell, held, np.bincount(best.ravel(), minlength=len(tree.blocks)), 500, 3000)
+        size = np.zeros(len(tiling.parts))
+        np.add.at(size, tiling.first, held)
+        assert size.max() <= 500
+    growth = np.log(counts[-1] / counts[0]) / np.log(16)
+    assert growth < 1.2
+
+
+def test_large_blocks_share_tiles():
+    tiling = neighbours.lay_out(np.array([0, 0, 0, 1]), np.array([10, 95, 5, 7]), np.array([30, 400, 20, 10]), 30, 100)
+    assert tiling.many.tolist() == [1, 4, 1, 1] and len(set(tiling.first.tolist())) == 4
+    assert tiling.first[1] + 4 <= tiling.first[2] and len(tiling.parts) == tiling.first[3] + 1 and tiling.parts[tiling.first[1]] == 4
+
+
 def test_few_and_no_vectors(spark, rows):
     df = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "id string, e array<float>")
     assert rows(neighbours.similar_vectors(df, "id", "e", 2)) == [("a", "b", 0.0), ("b", "a", 0.0)]
