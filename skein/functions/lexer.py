@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 KEYWORDS = frozenset(
     "var const function class extends return if else for while do switch case default break continue throw try catch finally new delete typeof void in instanceof this super null true false import export with debugger enum".split()
 )
-CONTEXTUAL = frozenset("let async await of get set static from as type interface namespace module declare abstract readonly public private protected override implements is keyof infer asserts satisfies unique yield global require accessor out".split())
+CONTEXTUAL = frozenset("let async await of get set static from as type interface namespace module declare abstract readonly public private protected override implements is keyof infer asserts satisfies unique yield global require accessor out using".split())
 OPEN, CLOSE = {"(": ")", "[": "]", "{": "}"}, {")": "(", "]": "[", "}": "{"}
 
 _LEX = re.compile(
@@ -26,6 +26,12 @@ _JSX_ATTRIBUTE = re.compile(r"[A-Za-z_$][\w$:\-]*")
 _JSX_STRING = re.compile(r"\s*=\s*(?:\"[^\"]*\"|'[^']*')")
 _JSX_TEXT = re.compile(r"[^<{}>]*")
 
+_LINE_END = re.compile(r"[\n\r\u2028\u2029]|\Z")
+_BLANK = re.compile(r"[ \t\f\v\xa0\ufeff]*")
+_STRAY = re.compile(r"[\w$]+|.", re.S)
+#: Words whose brackets a statement follows, so that / begins a pattern there.
+_HEADS = frozenset(("if", "while", "for", "with"))
+
 #: Kinds after which an operand has ended, so that / divides and a line break may end the statement.
 ENDS = frozenset(("id", "num", "str", "tpl", "re", "priv", "this", "super", "null", "true", "false", "++", "--", "return", "break", "continue", "debugger")) | CONTEXTUAL
 _NO_DIVISION = frozenset(("return", "break", "continue", "of", "await", "yield", "as", "keyof"))
@@ -48,22 +54,36 @@ class Group:
     kinds: list = field(default_factory=list)
     at: list = field(default_factory=list)
     end: int = -1
+    head: bool = False  # of a statement: what follows begins one
 
 
 class Lexer:
-    """``typed``: TypeScript; ``markup``: elements may stand for operands. Comments go to ``comments`` as (start, end)."""
+    """``typed``: TypeScript; ``markup``: elements may stand for operands. Comments go to ``comments`` as (start, end).
+
+    A text that has no lexemes or brackets that don't match raises LexError. A ``tolerant`` lexer mends it instead,
+    by one edit for each fault, kept in ``faults`` as (place, what): a quote, comment sign or bracket is put in (at
+    the end of the line, the bracket before the one that doesn't fit), a stray character or bracket is left out.
+    """
 
-    def __init__(self, text: str, typed: bool = False, markup: bool = False) -> None:
-        self.text, self.typed, self.markup = text, typed, markup
+    def __init__(self, text: str, typed: bool = False, markup: bool = False, tolerant: bool = False) -> None:
+        self.text, self.typed, self.markup, self.tolerant = text, typed, markup, tolerant
         self.comments: list[tuple[int, int]] = []
+        self.faults: list[tuple[int, str]] = []
+
+    def fault(self, at: int, what: str) -> None:
+        if not self.tolerant:
+            raise LexError(at, what)
+        self.faults.append((at, what))
+
+    def line_end(self, at: int) -> int:
+        return _LINE_END.search(self.text, at).start()
 
     def program(self) -> Group:
         at = 0
         if self.text.startswith("\ufeff"):
             at = 1
         if self.text.startswith("#!", at):
-            stop = re.compile(r"[\n\r]|\Z").search(self.text, at)
-            at = stop.start()
+            at = self.line_end(at)
         group, end = self.group("", at, at)
         return group
 
@@ -77,14 +97,24 @@ class Lexer:
         while True:
             m = match(text, at)
             if m is None:
-                rest = text[at:].strip(" \t\f\v\xa0\ufeff")
-                if not rest:
+                rest = _BLANK.match(text, at).end()
+                if rest == len(text):
                     if len(stack) > 1 or opened:
-                        raise LexError(stack[-1].start, f"unclosed {stack[-1].open}")
-                    top.end = len(text)
-                    return top, at
-                where = len(text) - len(text[at:].lstrip(" \t\f\v\xa0\ufeff"))
-                raise LexError(where, "unterminated comment" if rest.startswith("/*") else "unterminated string" if rest[0] in "'\"" else "stray character")
+                        self.fault(stack[-1].start, f"unclosed {stack[-1].open}")
+                        self.faults += [(g.start, f"unclosed {g.open}") for g in stack[-2:0:-1]] + [(top.start, f"unclosed {opened}")] * (bool(opened) and len(stack) > 1)
+                    for g in stack:
+                        g.end = len(text)
+                    return top, rest
+                sign = text[rest]
+                what = "unterminated comment" if text.startswith("/*", rest) else "unterminated string" if sign in "'\"" else "stray character"
+                self.fault(rest, what)
+                if sign in "'\"":
+                    kinds.append("str")
+                    places.append(rest)
+                    at, last, fresh = self.line_end(rest), "str", False
+                else:
+                    at = _STRAY.match(text, rest).end()
+                continue
             what, begin, at = m.lastgroup, m.start(m.lastgroup), m.end()
             if what == "nl":
                 fresh = True
@@ -106,15 +136,22 @@ class Lexer:
                 operand = last not in ENDS and last != "group" and not (typed and last in ("void", ">")) or last in _NO_DIVISION and last != ")"
                 if kind in ("/", "/=") and operand:
                     r = _REGEX.match(text, begin)
-                    if r is None:
-                        raise LexError(begin, "unterminated pattern")
-                    kind, at = "re", r.end()
+                    if r is not None:
+                        kind, at = "re", r.end()
+                    elif text.startswith("/*", begin):
+                        self.fault(begin, "unterminated comment")
+                        at = self.line_end(begin)
+                        self.comments.append((begin, at))
+                        continue
+                    else:
+                        self.fault(begin, "unterminated pattern")
                 elif kind[0] == ">" and typed and kind in (">>", ">>>", ">>=", ">>>="):
                     kind, at = ">", begin + 1
                 elif kind == "<" and self.markup and operand and (text[begin + 1 : begin + 2].isalpha() or text[begin + 1 : begin + 2] in "_$>") and not (typed and re.compile(r"<\s*(?:const\s+)?[A-Za-z_$][\w$]*\s*(?:,|extends\b)").match(text, begin)):
                     kind, at = self.element(begin)
                 elif kind in OPEN:
                     inner = Group(kind, begin)
+                    inner.head = kind == "(" and (last in _HEADS or last == "await" and before == "for")
                     kinds.append(inner)
                     places.append(begin)
                     stack.append(inner)
@@ -122,15 +159,23 @@ class Lexer:
                     last, fresh, before = "", False, ""
                     continue
                 elif kind in CLOSE:
-                    if stack[-1].open != CLOSE[kind] and not (kind == "}" and stack[-1] is top and opened in ("${", "{jsx")):
-                        raise LexError(begin, f"unmatched {kind}")
+                    while stack[-1].open != CLOSE[kind] and not (kind == "}" and stack[-1] is top and opened in ("${", "{jsx")):
+                        fits = len(stack) > 1 and any(g.open == CLOSE[kind] or kind == "}" and g is top and opened in ("${", "{jsx") for g in stack[:-1])
+                        self.fault(stack[-1].start if fits else begin, f"unclosed {stack[-1].open}" if fits else f"unmatched {kind}")
+                        if not fits:
+                            break
+                        stack.pop().end = begin
+                    else:
+                        fits = True
+                    if not fits:
+                        continue
                     stack[-1].end = at
-                    stack.pop()
+                    head = stack.pop().head
                     if not stack:
                         return top, at
                     parent = stack[-1]
                     kinds, places, want = parent.kinds, parent.at, parent.open in ("", "{")
-                    last, fresh, before = "group", False, ""
+                    last, fresh, before = "head" if head else "group", False, ""
                     continue
             elif what == "bt":
                 kind, at = self.template(begin)
@@ -158,7 +203,8 @@ class Lexer:
                 group = Group("`", start, parts, [p.start for p in parts], at + 1)
                 return group, at + 1
             if here != "$":
-                raise LexError(start, "unterminated template")
+                self.fault(start, "unterminated template")
+                return ("tpl" if not parts else Group("`", start, parts, [p.start for p in parts], len(self.text))), max(at, start + 1)
             inner, at = self.group("${", at, at + 2)
             parts.append(inner)
 
@@ -184,7 +230,8 @@ class Lexer:
                 continue
             attribute = _JSX_ATTRIBUTE.match(text, at)
             if attribute is None:
-                raise LexError(at, "unclosed tag")
+                self.fault(at, "unclosed tag")
+                return Group("jsx", start, parts, [p.start for p in parts], at), max(at, start + 1)
             at = attribute.end()
             value = _JSX_STRING.match(text, at)
             if value:
@@ -196,10 +243,12 @@ class Lexer:
                 elif text[at : at + 1] == "<":
                     inner, at = self.element(at)
                 else:
-                    raise LexError(at, "bad attribute")
+                    self.fault(at, "bad attribute")
+                    continue
                 parts.append(inner)
         if text[at : at + 1] != ">":
-            raise LexError(at, "unclosed tag")
+            self.fault(at, "unclosed tag")
+            return Group("jsx", start, parts, [p.start for p in parts], at), max(at, start + 1)
         at += 1
         while True:
             at = _JSX_TEXT.match(text, at).end()
@@ -211,9 +260,12 @@ class Lexer:
                 close = re.compile(r"<\s*/\s*([A-Za-z_$][\w$.:\-]*)?\s*>").match(text, at)
                 if close:
                     if (close[1] or None) != tag:
-                        raise LexError(at, f"closing tag of {tag} expected")
+                        self.fault(at, f"closing tag of {tag} expected")
                     return Group("jsx", start, parts, [p.start for p in parts], close.end()), close.end()
                 inner, at = self.element(at)
                 parts.append(inner)
             else:
-                raise LexError(at if here else start, "unclosed element" if not here else "stray character in mark-up")
+                self.fault(at if here else start, "unclosed element" if not here else "stray character in mark-up")
+                if not here:
+                    return Group("jsx", start, parts, [p.start for p in parts], at), at
+                at += 1
