@@ -61,7 +61,7 @@ class Lexer:
     """``typed``: TypeScript; ``markup``: elements may stand for operands. Comments go to ``comments`` as (start, end).
 
     A text that has no lexemes or brackets that don't match raises LexError. A ``tolerant`` lexer mends it instead,
-    by one edit for each fault, kept in ``faults`` as (place, what): a quote, comment sign or bracket is put in (at
+    by one edit for each fault, kept in ``faults`` as (place of the edit, what): a quote, comment sign or bracket is put in (at
     the end of the line, the bracket before the one that doesn't fit), a stray character or bracket is left out.
     """
 
@@ -100,8 +100,8 @@ class Lexer:
                 rest = _BLANK.match(text, at).end()
                 if rest == len(text):
                     if len(stack) > 1 or opened:
-                        self.fault(stack[-1].start, f"unclosed {stack[-1].open}")
-                        self.faults += [(g.start, f"unclosed {g.open}") for g in stack[-2:0:-1]] + [(top.start, f"unclosed {opened}")] * (bool(opened) and len(stack) > 1)
+                        for g in reversed(stack if opened else stack[1:]):
+                            self.fault(len(text), f"unclosed {g.open}")
                     for g in stack:
                         g.end = len(text)
                     return top, rest
@@ -161,7 +161,7 @@ class Lexer:
                 elif kind in CLOSE:
                     while stack[-1].open != CLOSE[kind] and not (kind == "}" and stack[-1] is top and opened in ("${", "{jsx")):
                         fits = len(stack) > 1 and any(g.open == CLOSE[kind] or kind == "}" and g is top and opened in ("${", "{jsx") for g in stack[:-1])
-                        self.fault(stack[-1].start if fits else begin, f"unclosed {stack[-1].open}" if fits else f"unmatched {kind}")
+                        self.fault(begin, f"unclosed {stack[-1].open}" if fits else f"unmatched {kind}")
                         if not fits:
                             break
                         stack.pop().end = begin
@@ -203,7 +203,7 @@ class Lexer:
                 group = Group("`", start, parts, [p.start for p in parts], at + 1)
                 return group, at + 1
             if here != "$":
-                self.fault(start, "unterminated template")
+                self.fault(len(self.text), "unterminated template")
                 return ("tpl" if not parts else Group("`", start, parts, [p.start for p in parts], len(self.text))), max(at, start + 1)
             inner, at = self.group("${", at, at + 2)
             parts.append(inner)
@@ -265,7 +265,7 @@ class Lexer:
                 inner, at = self.element(at)
                 parts.append(inner)
             else:
-                self.fault(at if here else start, "unclosed element" if not here else "stray character in mark-up")
+                self.fault(at, "unclosed element" if not here else "stray character in mark-up")
                 if not here:
                     return Group("jsx", start, parts, [p.start for p in parts], at), at
                 at += 1
