@@ -195,6 +195,31 @@ def test_faults(spark, rows):
     assert syntax.syntax_faults(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("ext,text", [(".js", x) for x in ("const x", "const {a};", "function (a) {}", "1 = x", "foo() = 1", "x = {a = 1}", "for await (x in y) {}", "class {}", "const a = 1, b")])
+def test_narrow_rules(ext, text):
+    assert syntax.diagnose(text, ext)[0] == 1
+
+
+@pytest.mark.parametrize("ext,text", [(".js", "if (x) /re/.test(y)"), (".ts", "using x = y();"), (".js", "x = " + "(" * 4000 + "a" + ")" * 4000), (".js", "({a = 1} = x); [a, b = 2, ...c] = d; for ({a, b: [c]} of x) {}"), (".js", "(a) = 1; a.b++; --a[0]; while (x) /a/.exec(y)"), (".ts", "declare const x: string;\ndeclare let y: number"), (".js", "export default function () {}"), (".js", "(function(){})(); (class {})")])
+def test_no_false_alarm(ext, text):
+    import sys
+
+    sys.setrecursionlimit(10**7)
+    assert syntax.diagnose(text, ext) is None
+
+
+@pytest.mark.parametrize("text,cost,cause", [("f(function () { if (a) { b(", 4, "truncated"), ("let a = 'x;\nlet b = 1;", 1, "other"), ("const a = f(1));\nconst b = 2;", 1, "other"), ("f([1, 2, 3 4, 5, 6, 7, 8]);" + "g(1);" * 40, 1, "other"), ("let x = f([" + "1, " * 60 + "1 2, 3]);", 1, "other"), ("let q = f(a b, c d)", 2, "other"), ("let u = 1; {\n  f(x y);\n  g(z w);\n}", 2, "other")])
+def test_costs_of_whole_files(text, cost, cause):
+    got = syntax.diagnose(text, ".js", 3)
+    assert (got[0], got[2]) == (cost, cause)
+
+
+def test_edits_lie_where_the_fault_is():
+    text = "f([" + "1, " * 60 + "1 2, 3]);"
+    cost, at, _, _ = syntax.diagnose(text, ".js")
+    assert cost == 1 and text.find("1 2") <= at <= text.find("1 2") + 3
+
+
 def test_equal_groups_are_one():
     parser = chart.Parser(False, False)
     program = Lexer("f({ a: 1 }); g({ b: 2 });").program()
