@@ -37,9 +37,9 @@ SCRIPT = IslandGrammar(
     signature=re.compile(
         r"[ \t]*(?:export[ \t]+)?(?:default[ \t]+)?(?:declare[ \t]+)?(?:abstract[ \t]+)?(?:"
         r"(?:async[ \t]+)?function[ \t]*\*?[ \t]*(?P<function>[\w$]*)"
-        r"|(?:const|let|var)[ \t]+(?P<arrow>[\w$]+)[^=\n]*=[ \t]*(?:async[ \t]*)?(?:function\b|\(|[\w$]+[ \t]*=>|<)"
-        r"|(?:(?:public|private|protected|static|async|override|readonly|get|set)[ \t]+)*\*?[ \t]*(?P<method>(?!(?:if|for|while|switch|catch|return|function|class|new|typeof|do|else)\b)#?[\w$]+)[ \t]*(?:<[^>\n]*>)?[ \t]*\([^;]*$"
-        r"|(?P<property>[\w$]+)[ \t]*[:=][ \t]*(?:async[ \t]*)?(?:function\b|\([^)\n]*\)[ \t]*=>|[\w$]+[ \t]*=>))"
+        r"|(?:const|let|var)[ \t]+(?P<arrow>[\w$]+)[^=;{}]*=\s*(?:async\s*)?(?:function\b|\(|[\w$]+\s*=>|<)"
+        r"|(?:(?:public|private|protected|static|async|override|readonly|get|set)[ \t]+)*\*?[ \t]*(?P<method>(?!(?:if|for|while|switch|catch|return|function|class|new|typeof|do|else)\b)#?[\w$]+)[ \t]*(?:<[^>\n]*>)?[ \t]*(?P<head>\()"
+        r"|(?P<property>[\w$]+)[ \t]*[:=]\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*(?::[^=\n]*)?=>|[\w$]+\s*=>))"
     ),
     annotation=re.compile(r"[ \t]*@[\w$.]+(?:\([^\n]*\))?[ \t]*$"),
 )
@@ -99,8 +99,21 @@ def documented_lines(text: str, grammar: IslandGrammar) -> list[tuple[int, str,
     return out
 
 
-def balanced_body(text: str, start: int, grammar: IslandGrammar) -> int:
-    """End of the function that starts at ``start``: behind the brace that closes its body, or at the end of the statement."""
+def signature_at(text: str, at: int, grammar: IslandGrammar) -> str | None:
+    """The name that the signature at ``at`` declares, on however many lines it stands; empty without one, None if there is no signature."""
+    m = grammar.signature.match(text, at)
+    if not m:
+        return None
+    if m["head"]:  # a method, if a body or a type follows its parameters
+        close = balanced_body(text, m.start("head"), grammar, parentheses=True)
+        if not _METHOD_GOES_ON.match(text, close):
+            return None
+    return next((g for g in (m["function"], m["arrow"], m["method"], m["property"]) if g), "")
+
+
+def balanced_body(text: str, start: int, grammar: IslandGrammar, parentheses: bool = False) -> int:
+    """End of the function that starts at ``start``: behind the brace that closes its body, or at the end of the statement;
+    with ``parentheses`` behind the one that closes the first."""
     depth, at, stop = 0, start, len(text)
     hidden = ((m.start(), m.end()) for m in grammar.lexeme.finditer(text, start, stop))
     skip = next(hidden, (stop, stop))
@@ -119,6 +132,8 @@ def balanced_body(text: str, start: int, grammar: IslandGrammar) -> int:
             depth -= 1
             if depth < 0:
                 return at
+            if depth == 0 and parentheses:
+                return at + 1
             if depth == 0 and c == "}" and opened and not _GOES_ON.match(text, at + 1):
                 return at + 1
         elif c == ";" and depth == 0:
@@ -127,6 +142,7 @@ def balanced_body(text: str, start: int, grammar: IslandGrammar) -> int:
 
 
 _BRACKET = re.compile(r"[()\[\]{};]")
+_METHOD_GOES_ON = re.compile(r"\s*(?:\{|:|=>)")
 _GOES_ON = re.compile(r"[ \t]*(?:\)|:|=>|,|\|)")
 
 # -- what a comment says ---------------------------------------------------------------------------------------
@@ -219,11 +235,10 @@ def documented_islands(files: DataFrame, path: str = "path", content: str = "con
                         at = begin
                         while m := grammar.annotation.match(text, at, text.find("\n", at) if "\n" in text[at:] else len(text)):
                             at = m.end() + 1
-                        stop = text.find("\n", at)
-                        m = grammar.signature.match(text, at, len(text) if stop < 0 else stop)
-                        if m:
+                        name = signature_at(text, at, grammar)
+                        if name is not None:
                             end = balanced_body(text, at, grammar)
-                            row |= {"name": next((g for g in m.groups() if g), None), "end_line": text.count("\n", 0, end) + 1, "code": text[at:end]}
+                            row |= {"name": name or None, "end_line": text.count("\n", 0, end) + 1, "code": text[at:end]}
                     out.append(row)
             yield pd.DataFrame(out, columns=["path", "line", "doc", *(["name", "end_line", "code"] if bodies else [])])
 
@@ -246,8 +261,10 @@ def function_pairs(files: DataFrame) -> DataFrame:
 def documented_symbols(files: DataFrame, symbols: DataFrame) -> DataFrame:
     """``symbol_id``, ``summary``: symbols (id, path, name, line) that have a documentation comment that says something.
 
-    The comment must end one or two lines above ``line``. Symbols without a file, or with a null line, drop
+    The comment must end one or two lines above ``line``, and the signature that the island parser reads there must
+    declare the symbol's name, if it declares one. Symbols without a file, or with a null line, drop
     out; several contents or lives of one symbol can give several summaries.
     """
-    islands = documented_islands(files, bodies=False)
-    return islands.join(symbols, ["path", "line"]).withColumn("summary", description("doc", "name")).where("summary IS NOT NULL").select(F.col("id").alias("symbol_id"), "summary").distinct()
+    islands = documented_islands(files).select("path", "line", "doc", F.col("name").alias("declared"), F.col("code").isNotNull().alias("signed"))
+    met = islands.join(symbols, ["path", "line"]).where("declared IS NULL OR name IS NULL OR declared = name OR NOT signed")
+    return met.withColumn("summary", description("doc", "name")).where("summary IS NOT NULL").select(F.col("id").alias("symbol_id"), "summary").distinct()

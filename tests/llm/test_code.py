@@ -379,3 +379,41 @@ def test_any_text_is_read(parts):
     out = redacted(text, found)
     assert out.count("REDACTED") == len(spans) and all(c in text or c in "REDACTED" for c in out)
     list(configs.script_entries(text))
+
+
+# -- p1: heads on several lines -------------------------------------------------------------------------------
+
+
+def test_signatures_on_several_lines(spark):
+    text = """/** Glues both halves with one blank between. */
+export async function joinParts(
+  first,
+  last = '',
+) {
+  return first + last;
+}
+
+class A {
+  /** Finds the row with this key. */
+  async find(
+    key: string,
+    more?: { deep: boolean },
+  ): Promise<Row> {
+    return this.rows[key];
+  }
+
+  /** Counts what is left in the queue. */
+  run(
+    this.x,
+  );
+}
+
+/** Keeps the newest of all rows. */
+const newest = (
+  rows,
+) => rows[0];
+"""
+    rows = docpairs.function_pairs(spark.createDataFrame([("a.ts", text)], "path string, content string")).orderBy("line").collect()
+    assert [(r.name, r.line, r.end_line) for r in rows] == [("joinParts", 2, 7), ("find", 11, 16), ("newest", 25, 27)]
+    symbols = spark.createDataFrame([("1", "a.ts", "joinParts", 2), ("2", "a.ts", "other", 11)], "id string, path string, name string, line int")
+    assert [r.symbol_id for r in docpairs.documented_symbols(spark.createDataFrame([("a.ts", text)], "path string, content string"), symbols).collect()] == ["1"]
