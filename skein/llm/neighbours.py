@@ -39,6 +39,8 @@ MAX_BLOCKS = 262_144
 BLOCKS_PER_CELL, PROBED_CELLS = 32, 8
 TILE_DATA, TILE_QUERIES = 32_768, 49_152
 STEP, WIDTH = 1024, 4096
+#: Classes of more than k equal vectors that are broadcast to find their members, at most (under 1 kB each at 64 dimensions).
+BROADCAST_CLASSES = 20_000
 #: Pairs for each query of a step from which they are pruned in double precision before they are listed.
 MANY = 48
 
@@ -335,9 +337,13 @@ def similar_vectors(df: DataFrame, identity: str, vector: str, size: int, k: int
     near = merged.select("query", F.explode("best").alias("b")).select("query", F.col("b.n").alias("n"), F.col("b.s").alias("s")).join(names, "n")
     near = near.groupBy("query").agg(F.flatten(F.collect_list(F.transform(F.slice("ids", 1, k), lambda i: F.struct(i.alias("id"), F.col("s").alias("s"))))).alias("best"))
     listed = names.withColumnRenamed("n", "query").join(near, "query", "left").withColumn("best", F.coalesce("best", F.array().cast("array<struct<id:string,s:double>>")))
-    several = classes.where(F.size("ids") > 1).select(F.col("n").alias("query"), "v").join(listed, "query")
-    copies = skew_join(rows, several, ["v"], "inner").select("id", "ids", "best").distinct()
-    members = listed.where(F.size("ids") == 1).select(F.col("ids")[0].alias("id"), "ids", "best").unionByName(copies)
+    # a class lists its first k + 1 ids, so only one with as many can have more
+    full = classes.where(F.size("ids") > k).select(F.col("n").alias("query"), "v")
+    members = listed.where(F.size("ids") <= k).select(F.explode("ids").alias("id"), "ids", "best")
+    if (many := full.count()) > 0:
+        several = full.join(listed, "query")
+        met = rows.join(F.broadcast(several), "v") if many <= BROADCAST_CLASSES else skew_join(rows, several, ["v"], "inner")
+        members = members.unionByName(met.select("id", "ids", "best").distinct())
     own = F.transform("ids", lambda i: F.struct(i.alias("id"), F.lit(1.0).alias("s")))
     every_one = F.filter(F.concat(own, "best"), lambda x: x["id"] != F.col("id"))
     top = members.select("id", F.explode(F.slice(F.array_sort(every_one, better("id")), 1, k)).alias("n"))
