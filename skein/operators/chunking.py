@@ -67,7 +67,8 @@ def chunk_text(df: DataFrame, identity: str, text: str, size: int = 400, overlap
     """
     rows = df.where(F.length(text) > 0).select(F.col(identity), split_lines(F.col(text)).alias("_l"))
     rows = rows.select(identity, "_l", F.transform("_l", lambda x: F.size(words(x))).alias("_t"))
-    found = rows.select(identity, "_l", F.posexplode(spans(F.col("_t"), size, overlap)).alias("_i", "_s"), F.size(spans(F.col("_t"), size, overlap)).alias("total_chunks"))
+    found = rows.select(identity, "_l", spans(F.col("_t"), size, overlap).alias("_a"))
+    found = found.select(identity, "_l", F.posexplode("_a").alias("_i", "_s"), F.size("_a").alias("total_chunks"))
     piece = F.array_join(F.slice(words(F.element_at("_l", F.col("_s.a"))), F.col("_s.p") * size + 1, size), " ")
     lines = F.array_join(F.slice("_l", F.col("_s.a"), F.col("_s.b") - F.col("_s.a") + 1), "\n")
     body = F.when(F.col("_s.p").isNotNull(), piece).otherwise(lines)

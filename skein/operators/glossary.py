@@ -24,6 +24,20 @@ def same_path(a: Column, b: Column) -> Column:
     return (a == "") | (a == b) | F.endswith(a, b) | F.endswith(b, a)
 
 
+def path_ends(path: Column) -> Column:
+    """A path and what it ends in, from each of its parts on."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+
+
+def met_paths(left: DataFrame, right: DataFrame, left_path: str, right_path: str) -> DataFrame:
+    """Left rows with the right rows whose path is the end of theirs, by whole parts, or the other way round; equi-joins on the ends."""
+    longer = left.withColumn("_end", F.explode(path_ends(F.col(left_path)))).join(right, F.col("_end") == F.col(right_path))
+    shorter = right.withColumn("_end", F.explode(path_ends(F.col(right_path)))).join(left, F.col("_end") == F.col(left_path))
+    columns = [*left.columns, *right.columns]
+    return longer.select(*columns).unionByName(shorter.select(*columns)).distinct()
+
+
 def normal_entries(entries: DataFrame, source_default: str = "comment") -> DataFrame:
     """Entries with a term, kind and summary, in normal form; the others drop out. Confidence defaults to 1.0 for manual, else 0.75."""
     source = F.coalesce(F.nullif(_trim(F.col("source")), F.lit("")), F.lit(source_default))

@@ -146,7 +146,8 @@ def graph_from_nodes(files: DataFrame, chunks: DataFrame, nodes: DataFrame) -> D
 
     A file contains its chunks and nodes, defines those that are no imports, imports and depends on the others, and
     exports what is declared so or listed by name. A node contains the chunks that hold some of its lines, a class those that name it as
-    parent. INHERITS goes to the first class or interface of the base's name in the same file.
+    parent. INHERITS and TYPE_OF go to the first class or interface (or type alias) of the name in the same file, CALLS
+    to the first function of it.
     """
     edge = lambda rows, kind, a, b: rows.select("file_path", F.lit(kind).alias("type"), F.col(a).alias("source_id"), F.col(b).alias("target_id"))
     file = files.select(F.col("path").alias("file_path"), F.col("id").alias("file"))
@@ -155,16 +156,28 @@ def graph_from_nodes(files: DataFrame, chunks: DataFrame, nodes: DataFrame) -> D
     lines = chunks.select("file_path", F.col("id").alias("chunk"), F.col("start_line").alias("_from"), F.col("end_line").alias("_to"))
     within = nodes.where(F.col("label").isin("Class", "Function", "Method")).join(lines, "file_path").where("_from <= end_line AND _to >= start_line")
     first = lambda label: nodes.where(F.col("label").isin(*label) & F.col("name").isNotNull()).groupBy("file_path", F.col("name").alias("_name")).agg(F.min_by("id", F.struct("start_line", "id")).alias("_id"))
-    members = nodes.where(F.col("parent").isNotNull()).withColumn("_name", F.col("parent")).join(first(("Class",)), ["file_path", "_name"])
-    derived = nodes.where(F.col("extends").isNotNull()).withColumn("_name", F.col("extends")).join(first(("Class", "Interface")), ["file_path", "_name"]).where("id <> _id")
+    members = nodes.where(F.col("parent_class").isNotNull()).withColumn("_name", F.col("parent_class")).join(first(("Class",)), ["file_path", "_name"])
+    bases = first(("Class", "Interface"))
+    derived = nodes.select("file_path", "id", F.explode("extends").alias("_name")).join(bases, ["file_path", "_name"]).where("id <> _id")
+    typed = nodes.select("file_path", "id", F.explode(F.array_distinct(F.regexp_extract_all("type_annotation", F.lit(r"([A-Za-z_$][\w$]*)")))).alias("_name")).join(first(("Class", "Interface", "TypeAlias")), ["file_path", "_name"]).where("id <> _id")
+    called = resolved_calls(nodes).join(nodes.select(F.col("id").alias("source_id"), "file_path"), "source_id")
     exported = export_edges(files, nodes).join(files.select(F.col("id").alias("source_id"), F.col("path").alias("file_path")), "source_id")
     parts = [
         edge(held, "CONTAINS", "file", "chunk"), edge(owned, "CONTAINS", "file", "id"), edge(defined, "DEFINES", "file", "id"), edge(imports, "IMPORTS", "file", "id"), edge(imports, "DEPENDS_ON", "file", "id"),
-        edge(within, "CONTAINS", "id", "chunk"), edge(members, "CONTAINS", "_id", "id"), edge(derived, "INHERITS", "id", "_id"), edge(exported, "EXPORTS", "source_id", "target_id"), edge(owned.where("is_exported AND parent IS NULL"), "EXPORTS", "file", "id"),
+        edge(within, "CONTAINS", "id", "chunk"), edge(members, "CONTAINS", "_id", "id"), edge(derived, "INHERITS", "id", "_id"), edge(exported, "EXPORTS", "source_id", "target_id"), edge(owned.where("is_exported AND parent_class IS NULL"), "EXPORTS", "file", "id"),
+        edge(typed, "TYPE_OF", "id", "_id"), edge(called, "CALLS", "source_id", "target_id"),
     ]
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
+def named_functions(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``chunks`` with function_name and parent_function: the innermost function or method that holds all lines of the chunk, and the one around that."""
+    spans = nodes.where(F.col("label").isin("Function", "Method")).select("file_path", F.struct((F.col("end_line") - F.col("start_line")).alias("lines"), "start_line", "name", "parent_function").alias("s"), F.col("end_line").alias("_end"))
+    held = chunks.select("id", "file_path", F.col("start_line").alias("_from"), F.col("end_line").alias("_to")).join(spans, "file_path").where("s.start_line <= _from AND _end >= _to")
+    inner = held.groupBy("id").agg(F.min("s").alias("s")).select("id", F.col("s.name").alias("function_name"), F.col("s.parent_function").alias("parent_function"))
+    return chunks.join(inner, "id", "left")
+
+
 def placeholders(files: DataFrame, nodes: DataFrame) -> DataFrame:
     """Files that have no node of a label get one made up: path, label, name (Class, Function, Import)."""
     wanted = files.select("path").where("path IS NOT NULL").distinct().select("path", F.explode(F.create_map(*[F.lit(x) for kv in (("Class", "AnonymousClass"), ("Function", "anonymous"), ("Import", "./module")) for x in kv])).alias("label", "name"))

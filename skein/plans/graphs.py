@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators import graph as G
+from skein.plans.references import TABLES, named_table
 from skein.sources.tables import table
 
 _NODE = ("id", "label", "file_path", "name", "start_line", "end_line")
@@ -55,7 +58,13 @@ def upsert_nodes_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def upsert_edges_drop_dangling(spark: SparkSession, d: str) -> DataFrame:
-    return G.connected_edges(_edges(spark, d), table(spark, d, "nodes", "id")).select("type", "source_id", "target_id")
+    """Each end is looked for in the table that its label names."""
+    edges = table(spark, d, "relationships", "edge_id", "type", "source_label", "source_id", "target_label", "target_id").dropDuplicates(["edge_id"])
+    key = lambda name, i: F.concat(name, F.lit(":"), i)  # noqa: E731 - null for a null id
+    keyed = edges.select("type", *[c for side in ("source", "target") for c in (key(named_table(F.col(f"{side}_label")), F.col(f"{side}_id")).alias(f"{side}_id"), F.col(f"{side}_id").alias(f"_{side}"))])
+    ids = [table(spark, d, t, "id").select(key(F.lit(t), F.col("id")).alias("id")) for t in ("nodes", *TABLES.values())]
+    kept = G.connected_edges(keyed, reduce(DataFrame.unionByName, ids))
+    return kept.select("type", F.col("_source").alias("source_id"), F.col("_target").alias("target_id")).distinct()
 
 
 def edge_dedupe(spark: SparkSession, d: str) -> DataFrame:
@@ -122,7 +131,10 @@ SQL = {
     "node_captions": "SELECT DISTINCT id, coalesce(nullif(name, ''), nullif(module, ''), substr(id, 1, 20)) AS caption FROM nodes",
     "validate_nodes": f"WITH v AS (SELECT label, CASE label {_MISSING} END AS ok FROM nodes) SELECT label, count(*) FILTER (ok) AS valid, count(*) FILTER (NOT ok) AS invalid FROM v GROUP BY label",
     "upsert_nodes_merge": "WITH n AS (SELECT DISTINCT id, label, name, end_line, visibility, indexed_at FROM nodes) SELECT label, id, name, end_line, visibility, count(*) OVER (PARTITION BY label, id) AS writes FROM n QUALIFY row_number() OVER (PARTITION BY label, id ORDER BY indexed_at DESC) = 1",
-    "upsert_edges_drop_dangling": f"WITH {_E} SELECT DISTINCT type, source_id, target_id FROM e WHERE type IN ({', '.join(repr(t) for t in G.TYPES)}) AND source_id IN (SELECT id FROM nodes) AND target_id IN (SELECT id FROM nodes)",
+    "upsert_edges_drop_dangling": f"""WITH k AS (SELECT 'nodes' AS t, id FROM nodes UNION SELECT 'files', id FROM files UNION SELECT 'chunks', id FROM chunks UNION SELECT 'modules', id FROM modules UNION SELECT 'glossary', id FROM glossary),
+        t AS (SELECT * FROM (VALUES ('File', 'files'), ('Chunk', 'chunks'), ('Module', 'modules'), ('GlossaryEntry', 'glossary')) v(label, name))
+        SELECT DISTINCT type, source_id, target_id FROM relationships r LEFT JOIN t a ON a.label = source_label LEFT JOIN t b ON b.label = target_label WHERE type IN ({', '.join(repr(t) for t in G.TYPES)})
+          AND source_label IS NOT NULL AND target_label IS NOT NULL AND (coalesce(a.name, 'nodes'), source_id) IN (SELECT t, id FROM k) AND (coalesce(b.name, 'nodes'), target_id) IN (SELECT t, id FROM k)""",
     "edge_dedupe": f"WITH {_E} SELECT type, count(*) AS edges, count(DISTINCT (source_id, target_id)) FILTER (source_id IS NOT NULL AND target_id IS NOT NULL) AS pairs FROM e GROUP BY type",
     "graph_fallbacks": "WITH w AS (SELECT DISTINCT path, unnest(['Class', 'Function', 'Import']) AS label, unnest(['AnonymousClass', 'anonymous', './module']) AS name FROM files) SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE n.file_path = w.path AND n.label = w.label)",
     "k_hop_out": f"""WITH RECURSIVE {_S}, p AS (SELECT id AS node, 0 AS hops, []::bigint[] AS path FROM st UNION ALL SELECT e.target_id, hops + 1, list_append(path, edge_id) FROM p JOIN e ON e.source_id = p.node WHERE hops < 2 AND NOT list_contains(path, edge_id))

@@ -145,6 +145,26 @@ def file_metadata(spark: SparkSession, d: str) -> DataFrame:
     return parse.file_metadata(table(spark, d, "files", "path", "content").distinct())
 
 
+def parsed_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """The types, fields and variables that the index lists, as the parser reads them from the sources."""
+    listed = table(spark, d, "nodes", "id").distinct()
+    found = parse.detailed_nodes(table(spark, d, "files", "path", "content").distinct())
+    own = found.where(F.col("label").isin("Interface", "TypeAlias", "Field", "Variable")).join(listed, "id", "left_semi")
+    return own.select("id", "label", "file_path", "name", "start_line", "end_line", "parent_class", "is_constant", "type_expression")
+
+
+def parsed_imports(spark: SparkSession, d: str) -> DataFrame:
+    """The modules that a source imports or requires, with their lines."""
+    found = parse.detailed_nodes(table(spark, d, "files", "path", "content").distinct()).where("label = 'Import'")
+    return found.select("id", "file_path", "module", "start_line", "end_line")
+
+
+def parsed_modules(spark: SparkSession, d: str) -> DataFrame:
+    """All modules of each source; none for a source without."""
+    found = parse.file_metadata(table(spark, d, "files", "path", "content").distinct())
+    return found.select("path", F.array_join(F.array_sort("imports"), " ").alias("imports"))
+
+
 def extracted_nodes(spark: SparkSession, d: str) -> DataFrame:
     return parse.extracted_nodes(table(spark, d, "files", "path", "content"))
 
@@ -170,9 +190,12 @@ _OPENED = "(length(x) - length(translate(x, '{([', ''))) - (length(x) - length(t
 
 QUERIES = {
     f.__name__: f
-    for f in (uuid5_file_ids, uuid5_node_ids, uuid5_chunk_ids, content_hash16, collection_names, file_scan_filter, binary_files, fnmatch_filter, line_counts, token_counts, nesting_depths, long_line_split, chunk_greedy, chunk_numbering, ordered_dedupe_cap, upsert_last_wins, scroll_page, point_lookup, collection_info, unique_id_violations, prefix_passages, hashing_embed, pipeline_stats, strip_comments, file_metadata, extracted_nodes, merged_ranges, locations, first_export_lines)
+    for f in (uuid5_file_ids, uuid5_node_ids, uuid5_chunk_ids, content_hash16, collection_names, file_scan_filter, binary_files, fnmatch_filter, line_counts, token_counts, nesting_depths, long_line_split, chunk_greedy, chunk_numbering, ordered_dedupe_cap, upsert_last_wins, scroll_page, point_lookup, collection_info, unique_id_violations, prefix_passages, hashing_embed, pipeline_stats, strip_comments, file_metadata, parsed_symbols, parsed_imports, parsed_modules, extracted_nodes, merged_ranges, locations, first_export_lines)
 }
 SQL = {
+    "parsed_symbols": "SELECT DISTINCT id, label, file_path, name, start_line, end_line, parent_class, is_constant, type_expression FROM nodes WHERE label IN ('Interface', 'TypeAlias', 'Field', 'Variable')",
+    "parsed_imports": "SELECT DISTINCT id, file_path, module, start_line, end_line FROM nodes WHERE label = 'Import'",
+    "parsed_modules": "SELECT DISTINCT path, array_to_string(list_sort(list_distinct(imports)), ' ') AS imports FROM files",
     "uuid5_file_ids": f"WITH x AS (SELECT DISTINCT id, path, {_SHA.format("path || ':File:' || path || ':1'")} AS h FROM files) SELECT path, {_UUID} AS computed, {_UUID} = id AS matches FROM x",
     "uuid5_node_ids": f"WITH x AS (SELECT DISTINCT id, {_SHA.format("file_path || ':' || label || ':' || coalesce(name, module) || ':' || start_line::varchar")} AS h FROM nodes) SELECT id, {_UUID} AS computed, {_UUID} = id AS matches FROM x",
     "uuid5_chunk_ids": f"WITH x AS (SELECT DISTINCT id, {_SHA.format("file_path || ':' || chunk_index::varchar || ':' || file_hash")} AS h FROM chunks) SELECT id, {_UUID} AS point_id FROM x",

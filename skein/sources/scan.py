@@ -41,7 +41,9 @@ def is_binary(content: Column) -> Column:
 def discover_files(spark: SparkSession, root: str) -> DataFrame:
     """Files below ``root`` in a known language: path (relative), extension, language, grammar, file_hash, content."""
     base = root.rstrip("/") + "/"
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    endings = ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in ENDINGS)
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{{{endings}}}").load(root)
+    # the folders that are left out hold files of these endings too: their contents are not read, as the path is judged first
     rows = rows.withColumn("path", F.element_at(F.split("path", base.replace("file://", ""), 2), -1))
     kept = rows.where(~skipped(F.col("path")) & language(F.col("path")).isNotNull() & ~is_binary(F.col("content")))
     return kept.select("path", extension(F.col("path")).alias("extension"), language(F.col("path")).alias("language"), grammar(F.col("path")).alias("grammar"), content_hash(F.col("content")).alias("file_hash"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))

@@ -9,7 +9,9 @@ from skein.operators.graph import latest
 
 
 class TableStore:
-    """Versions of tables below one folder; the last committed version of each is read."""
+    """Versions of tables below one folder; the last committed version of each is read, the one before stays for its readers."""
+
+    KEPT = 2
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -35,6 +37,8 @@ class TableStore:
     def overwrite(self, name: str, rows: DataFrame, partition_by: tuple[str, ...] = ()) -> None:
         version = (self._versions(name) or [0])[-1] + 1
         rows.write.partitionBy(*partition_by).parquet(f"{self.root}/{name}/v{version}")
+        for old in self._versions(name)[: -self.KEPT]:
+            self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/v{old}"), True)
 
     def upsert(self, name: str, rows: DataFrame, keys: list[str], order: str, partition_by: tuple[str, ...] = ()) -> None:
         """Rows with the same keys are replaced, by ``order``; writing the same rows again changes nothing."""
@@ -49,10 +53,12 @@ class TableStore:
         return sorted(s.getPath().getName() for s in self.fs.listStatus(path)) if self.fs.exists(path) else []
 
     def healthy(self) -> bool:
+        """Whether the session runs queries and the folder of the store is there and can be listed."""
         try:
             self.spark.sql("SELECT 1").collect()
-            return self.fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(self.root)) or True
-        except Exception:
+            self.fs.listStatus(self.spark._jvm.org.apache.hadoop.fs.Path(self.root))
+            return True
+        except Exception:  # noqa: BLE001 - whatever it is, it isn't healthy
             return False
 
 
