@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.ids import node_id
-from skein.operators.skew import skew_join
+from skein.operators.skew import hot_keys, skew_join
+from skein.session import materialize
+
+#: Ids of a frontier up to which they are broadcast (counted at each step).
+BROADCAST_FRONT = 100_000
 
 #: The labels and edge types of the graph, and what a node of each label must have.
 LABELS = ("File", "Module", "Class", "Function", "Method", "Field", "Variable", "Import", "Interface", "TypeAlias", "Chunk", "GlossaryEntry")
@@ -88,13 +92,25 @@ def reach(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     if not 1 <= depth <= 3:
         raise ValueError("depth must be 1, 2 or 3")
     links = edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("to")).union(edges.select("target_id", "source_id")).where("id IS NOT NULL AND to IS NOT NULL")
-    seen = front = start.select("id", F.lit(0).alias("hops"))
+    seen = front = materialize(start.select("id", F.lit(0).alias("hops")), "start")
+    hot: list[int] | None = None
     for hop in range(1, depth + 1):
-        front = skew_join(links, front.select("id"), ["id"], "left_semi").select(F.col("to").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("hops", F.lit(hop))
+        if front.count() <= BROADCAST_FRONT:
+            met = links.join(F.broadcast(front.select("id")), "id", "left_semi")
+        else:
+            hot = hot_keys(links, ["id"]) if hot is None else hot  # once for all steps
+            met = skew_join(links, front.select("id"), ["id"], "left_semi", hot=hot)
+        front = materialize(met.select(F.col("to").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("hops", F.lit(hop)), "front")
         seen = seen.unionByName(front)
     return seen
 
 
+def reach_edges(edges: DataFrame, reached: DataFrame) -> DataFrame:
+    """The edges both of whose ends are reached."""
+    ids = reached.select("id").distinct()
+    return skew_join(skew_join(edges, ids.withColumnRenamed("id", "source_id"), ["source_id"], "left_semi"), ids.withColumnRenamed("id", "target_id"), ["target_id"], "left_semi")
+
+
 def graph_from_chunks(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (label, id) and edges (type, source_id, target_id) of stored chunks, distinct.
 

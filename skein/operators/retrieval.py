@@ -9,19 +9,28 @@ from pyspark.sql import functions as F
 
 from skein.functions.text import fnmatch
 from skein.functions.vectors import cosine, usable
+from skein.session import materialize
+
+#: Results up to which the edges and nodes come to them, not they to the edges and nodes.
+BROADCAST_RESULTS = 10_000
 
 
 def vector_topk(points: DataFrame, query: list[float], k: int, identity: str = "id", vector: str = "embedding", where: Column | None = None) -> DataFrame:
     """``points`` with ``score`` (cosine, 6 decimals), the k best; ties by identity. ``where`` holds before ranking.
 
-    Vectors that are null, of another length, not finite or zero are left out. Each task keeps its own k best
-    rows, so the driver and the last task see at most k rows of each.
+    Vectors that are null, of another length, not finite or zero are left out. A point delivered several times
+    counts once. Only identities and scores are shuffled, and each task keeps its own k best of them; the other
+    columns are read for the k best alone.
     """
     rows = points.where(usable(F.col(vector), len(query)))
     if where is not None:
         rows = rows.where(where)
-    scored = rows.withColumn("score", F.round(cosine(F.col(vector), F.lit(query).cast("array<double>")), 6))
-    return scored.orderBy(F.desc("score"), identity).limit(k)
+    scored = rows.select(identity, F.round(cosine(F.col(vector), F.lit(query).cast("array<double>")), 6).alias("score"))
+    top = scored.groupBy(identity).agg(F.max("score").alias("score")).orderBy(F.desc("score"), identity).limit(k)
+    if set(points.columns) <= {identity, vector}:
+        return top
+    rest = rows.drop("score") if "score" in points.columns else rows
+    return rest.join(F.broadcast(top), identity).dropDuplicates([identity]).orderBy(F.desc("score"), identity)
 
 
 def vector_topk_per_group(points: DataFrame, query: list[float], k: int, group: str, identity: str = "id", vector: str = "embedding") -> DataFrame:
@@ -79,9 +88,13 @@ def hybrid_search(points: DataFrame, nodes: DataFrame, query: list[float], text:
 
 def enrich(results: DataFrame, edges: DataFrame, nodes: DataFrame, most: int = 5) -> DataFrame:
     """``graph_context``: up to ``most`` (type, id, name) that a result points to, by type and id; empty without any."""
-    near = edges.join(F.broadcast(results.select(F.col("id").alias("source_id")).distinct()), "source_id", "left_semi").select("source_id", "type", "target_id").distinct()  # results are a top-k
+    results = materialize(results, "results")  # they are read three times
+    small = F.broadcast if results.count() <= BROADCAST_RESULTS else (lambda rows: rows)
+    near = edges.join(small(results.select(F.col("id").alias("source_id")).distinct()), "source_id", "left_semi").select("source_id", "type", "target_id").distinct()
     near = near.withColumn("place", F.row_number().over(Window.partitionBy("source_id").orderBy("type", "target_id"))).where(F.col("place") <= most)
-    named = near.join(nodes.select(F.col("id").alias("target_id"), "name").distinct(), "target_id", "left")
+    near = materialize(near, "near")  # at most ``most`` for each result
+    names = nodes.select(F.col("id").alias("target_id"), "name").join(small(near.select("target_id").distinct()), "target_id", "left_semi").distinct()
+    named = near.join(names, "target_id", "left")
     lists = named.groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("type", F.col("target_id").alias("id"), "name"))).alias("graph_context"))
     out = results.join(lists.withColumnRenamed("source_id", "id"), "id", "left")
     return out.withColumn("graph_context", F.coalesce("graph_context", F.array().cast("array<struct<type:string,id:string,name:string>>")))

@@ -88,6 +88,12 @@ def subgraph_undirected(spark: SparkSession, d: str) -> DataFrame:
     return G.reach(_edges(spark, d), _start(spark, d), 2).orderBy("hops", "id").limit(100)
 
 
+def subgraph_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The edges among the nodes that the subgraph shows."""
+    e = _edges(spark, d).where("source_id IS NOT NULL AND target_id IS NOT NULL")
+    return G.reach_edges(e, subgraph_undirected(spark, d)).select("type", "source_id", "target_id").distinct()
+
+
 def resolved_calls(spark: SparkSession, d: str) -> DataFrame:
     return G.resolved_calls(table(spark, d, "nodes", "id", "label", "file_path", "name", "start_line", "call_sites"))
 
@@ -121,7 +127,7 @@ _B = """b AS (SELECT DISTINCT id, file_path, CASE WHEN start_line > 0 THEN start
 
 QUERIES = {
     f.__name__: f
-    for f in (graph_stats_zero_fill, relationship_stats, top_labels, browse_nodes_page, node_captions, validate_nodes, upsert_nodes_merge, upsert_edges_drop_dangling, edge_dedupe, graph_fallbacks, k_hop_out, related_nodes, subgraph_undirected, resolved_calls, export_edges, rebuild_nodes, rebuild_edges)
+    for f in (graph_stats_zero_fill, relationship_stats, top_labels, browse_nodes_page, node_captions, validate_nodes, upsert_nodes_merge, upsert_edges_drop_dangling, edge_dedupe, graph_fallbacks, k_hop_out, related_nodes, subgraph_undirected, subgraph_edges, resolved_calls, export_edges, rebuild_nodes, rebuild_edges)
 }
 SQL = {
     "graph_stats_zero_fill": _STATS(G.LABELS, "SELECT label AS k FROM (SELECT DISTINCT id, label FROM nodes)"),
@@ -143,6 +149,9 @@ SQL = {
     "subgraph_undirected": f"""WITH {_S}, l AS (SELECT source_id AS a, target_id AS b FROM e WHERE source_id IS NOT NULL AND target_id IS NOT NULL UNION SELECT target_id, source_id FROM e WHERE source_id IS NOT NULL AND target_id IS NOT NULL),
         x AS (SELECT DISTINCT b FROM l WHERE a IN (SELECT id FROM st)), y AS (SELECT DISTINCT b FROM l WHERE a IN (SELECT b FROM x)), u AS (SELECT id, 0 AS hops FROM st UNION ALL SELECT b, 1 FROM x UNION ALL SELECT b, 2 FROM y)
         SELECT id, min(hops) AS hops FROM u GROUP BY id ORDER BY hops, id LIMIT 100""",
+    "subgraph_edges": f"""WITH {_S}, l AS (SELECT source_id AS a, target_id AS b FROM e WHERE source_id IS NOT NULL AND target_id IS NOT NULL UNION SELECT target_id, source_id FROM e WHERE source_id IS NOT NULL AND target_id IS NOT NULL),
+        x AS (SELECT DISTINCT b FROM l WHERE a IN (SELECT id FROM st)), y AS (SELECT DISTINCT b FROM l WHERE a IN (SELECT b FROM x)), u AS (SELECT id, 0 AS hops FROM st UNION ALL SELECT b, 1 FROM x UNION ALL SELECT b, 2 FROM y)
+        , r AS (SELECT id, min(hops) AS hops FROM u GROUP BY id ORDER BY hops, id LIMIT 100) SELECT DISTINCT type, source_id, target_id FROM e WHERE source_id IN (SELECT id FROM r) AND target_id IN (SELECT id FROM r)""",
     "resolved_calls": """WITH c AS (SELECT DISTINCT id AS source_id, file_path, unnest(call_sites) AS name FROM nodes WHERE label IN ('Function', 'Method')),
         t AS (SELECT file_path, name, id FROM nodes WHERE label = 'Function' AND name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_path, name ORDER BY start_line, id) = 1)
         SELECT DISTINCT source_id, t.id AS target_id FROM c JOIN t USING (file_path, name)""",

@@ -20,7 +20,8 @@ def _first_vector(rows: DataFrame, identity: str = "id") -> list[float]:
 
 
 def _points(spark: SparkSession, d: str, *more: str) -> DataFrame:
-    return table(spark, d, "chunks", "id", "embedding", *more).dropDuplicates(["id"])
+    """Chunks as they are delivered, some twice: ranking counts each once."""
+    return table(spark, d, "chunks", "id", "embedding", *more)
 
 
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -44,7 +45,7 @@ def vector_post_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def l2_normalized(spark: SparkSession, d: str) -> DataFrame:
-    c = _points(spark, d).where(usable(F.col("embedding"), 64))
+    c = _points(spark, d).where(usable(F.col("embedding"), 64)).dropDuplicates(["id"])
     v = l2_normalize(F.col("embedding"))
     return c.select("id", F.round(norm(v), 6).alias("norm"), F.round(F.element_at(v, 1), 6).alias("first"))
 
@@ -113,7 +114,7 @@ def context_assembly(spark: SparkSession, d: str) -> DataFrame:
 
 
 def format_results(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "chunks", "id", "embedding", "file_path", "start_line", "end_line", "function_name", "class_name", "language", "text_content").dropDuplicates(["id"])
+    c = table(spark, d, "chunks", "id", "embedding", "file_path", "start_line", "end_line", "function_name", "class_name", "language", "text_content")
     top = R.vector_topk(c, _first_vector(c), 10)
     top = top.join(R.ranked(top, F.desc("score"), "id"), "id")
     symbol = F.coalesce(F.nullif("function_name", F.lit("")), "class_name")
@@ -122,7 +123,7 @@ def format_results(spark: SparkSession, d: str) -> DataFrame:
 
 
 def json_projection(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "chunks").dropDuplicates(["id"])
+    c = table(spark, d, "chunks")
     top = R.vector_topk(c, _first_vector(c), 10)
     return top.select("id", R.result_json(top).alias("json"))
 
