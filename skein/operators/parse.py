@@ -364,11 +364,11 @@ def _extension(path: str) -> str:
 
 
 def strip_comments(files: DataFrame) -> DataFrame:
-    """path, stripped_text, comments (number), status: ok or the text could not be lexed to its end."""
+    """path, stripped_text, comments (number), status: ok, or partial if the text has faults (those up to its end are mended)."""
 
     def rows(path: str, text: str):
         program, lexer = lexed(text, _extension(path))
-        return [(path, without_comments(text, lexer.comments), len(lexer.comments), "ok" if program else "partial")]
+        return [(path, without_comments(text, lexer.comments), len(lexer.comments), "partial" if program is None or lexer.faults else "ok")]
 
     return _scan(files, "path string, stripped_text string, comments int, status string", rows)
 
