@@ -209,6 +209,8 @@ QUERIES = {
     for f in (vector_topk, vector_topk_filtered, vector_topk_per_label, vector_post_filter, l2_normalized, name_contains_search, graph_three_strategy, rrf_fusion, rrf_three_lists_zero_weight, hybrid_search, hybrid_enriched, query_expansion, result_dedupe, source_citations, context_assembly, format_results, json_projection, impact_importers, impact_callers, impact_class_members, impact_high_risk, semantic_structural, glossary_normalize, clean_comments, import_asof_symbol, comment_asof_symbol, glossary_precedence, symbol_index, glossary_graph)
 }
 SQL = {
+    "json_projection": f"""WITH {_C}, t AS (SELECT * FROM s ORDER BY score DESC, id LIMIT 10) SELECT id, to_json(struct_pack(id := id, score := round(score, 4), file_path := file_path, language := language, start_line := start_line, end_line := end_line,
+        function_name := function_name, class_name := class_name, node_type := node_type, text_content := text_content, imports := imports, exports := exports, symbols_defined := symbols_defined, call_sites := call_sites, token_count := token_count))::varchar AS json FROM t""",
     "vector_topk": f"WITH {_E} SELECT vec_id, label, score FROM s ORDER BY score DESC, vec_id LIMIT 20",
     "vector_topk_filtered": f"WITH {_C} SELECT id, score FROM s WHERE language = 'typescript' ORDER BY score DESC, id LIMIT 20",
     "vector_topk_per_label": f"WITH {_E} SELECT label, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s QUALIFY rank <= 3",
