@@ -3,14 +3,18 @@
 Bracketed groups are interned by their content, so equal groups anywhere are one number, and parsed once for
 each role they are used in (block, object, parameters, ...). A group's content is split at its semicolons; each
 piece is a short sequence in which inner groups are single symbols. A piece is parsed by a chart of items
-(rule, dot, origin) with prediction limited to what the next lexeme can begin. If that gives no parse, the same
-chart runs again with edits: a lexeme may be inserted, deleted or replaced for a cost of one each (brackets
-count with what is in them), and the cheapest parse counts. Results are kept by content, within bounds.
+(rule, dot, origin) with prediction limited to what the next lexeme can begin. If that gives no parse, the cheapest
+one with edits counts: a lexeme may be inserted, deleted or replaced for a cost of one each (brackets count with
+what is in them). Short pieces are repaired by the tables of ``repairs``, long ones by the same chart with a bound on
+the edits that is raised until there is a parse. Results are kept by content, within bounds.
 """
 
 from __future__ import annotations
 
+import numpy as np
+
 from skein.functions.lexer import CONTEXTUAL, KEYWORDS, Group
+from skein.llm.repairs import Repairs
 
 #: Alternatives are separated by two semicolons; those after @ts are for TypeScript, after @cast for it without mark-up.
 GRAMMAR = r"""
@@ -165,7 +169,15 @@ SPLIT = frozenset(("Program", "Block", "Switch", "Class1", "Members"))
 #: Not predicted where one of these stands: an expression that makes a statement, or the body of a function, doesn't begin so.
 NOT_AT = {"Plain": frozenset(("{", "function", "class")), "NoBrace": frozenset(("{",))}
 MOST_KEPT = 300_000
-BACK = 12
+#: Lexemes up to which a piece is repaired by tables, which take the cube of its length whatever the edits; longer ones by charts, which grow with the edits. Both give the same.
+SHORT = 100
+#: Edits up to which charts are tried first for longer ones, and the length from which tables are too large for a worker.
+FEW, LONG = 3, 600
+FAR = 10**9
+#: Spans of which tables are made at a time; each takes some KB.
+SPANS = 8192
+#: Lexemes before the one where the plain parse stops in which an edit is sought first.
+NEAR = 12
 
 
 class Grammar:
@@ -219,6 +231,24 @@ class Grammar:
                 cost[left] = min(cost[left], sum(cost[w] if w in self.names else self.lexemes(w, cost) for w in words))
         self.least = cost
         self.weight = {w: self.lexemes(w, cost) for w in self.next if w and w not in self.names}
+        self.roles = {w[1:-1] for w in self.weight if self.lexemes(w, cost) > 1} | {"Program", "Subst", "Embed"}
+        self.reached: dict[str, frozenset] = {}
+        self.repairs = Repairs(self.rules, self.body, self.least, self.weight, NOT_AT)
+
+    def reach(self, role: str) -> frozenset:
+        """Terminals that occur in texts of a role."""
+        out = self.reached.get(role)
+        if out is None:
+            todo, names, found = [role], {role}, set()
+            while todo:
+                for w in {w for s in self.rules[todo.pop()] for w in self.body[s]}:
+                    if w not in self.names:
+                        found.add(w)
+                    elif w not in names:
+                        names.add(w)
+                        todo.append(w)
+            out = self.reached[role] = frozenset(found)
+        return out
 
     @staticmethod
     def lexemes(terminal: str, least: dict[str, int]) -> int:
@@ -389,8 +419,8 @@ class Parser:
             items = list(dict.fromkeys(scanned))
         return False
 
-    def cost(self, number: int, role: str, most: int) -> int:
-        """Least number of edits that make a group's content fit a role, at most ``most`` + 1."""
+    def cost(self, number: int, role: str, most: int | None = None) -> int:
+        """Least number of edits that make a group's content fit a role, at most ``most`` + 1 if that is given."""
         if self.parses(number, role):
             return 0
         key = (number, role, most, "cost")
@@ -399,10 +429,10 @@ class Parser:
             out = 0
             for part in pieces(self.content[number][1], role):
                 if not self.piece(part, role):
-                    out += self.repair(part, role, most - out)[0]
-                    if out > most:
+                    out += self.repair(part, role, None if most is None else most - out)[0]
+                    if most is not None and out > most:
                         break
-            self.known[key] = out = min(out, most + 1)
+            self.known[key] = out = out if most is None else min(out, most + 1)
         return out
 
     def weight(self, token: object) -> int:
@@ -415,110 +445,251 @@ class Parser:
             out = self.known[key] = 2 + sum(map(self.weight, self.content[token][1]))
         return out
 
-    def scan_cost(self, token: object, terminal: str, most: int) -> int:
+    def scan_cost(self, token: object, terminal: str, most: int | None = None) -> int:
         """Edits within a lexeme that stands for a terminal of its kind: those of a group's content."""
         if not isinstance(token, int) or self.fits(token, terminal):
             return 0
-        if most < 1:
+        if most is not None and most < 1:
             return 1  # too many
         if terminal not in ("TPL", "JSX"):
             return self.cost(token, terminal[1:-1], most)
         inner = [(p, "Subst" if terminal == "TPL" else "Embed") for p in self.content[token][1]]
         return sum(self.scan_cost(p, "JSX", most) if self.content[p][0] == "jsx" else self.cost(p, role, most) for p, role in inner)
 
-    def repair(self, tokens: tuple, start: str, most: int = 3) -> tuple[int, int]:
-        """Least number of edits, up to ``most`` + 1, and the place of the first; those within inner groups count too.
-
-        No edit lies more than BACK lexemes before the one where the plain parse stops.
+    def repair(self, tokens: tuple, start: str, most: int | None = None) -> tuple[int, int]:
+        """Least number of edits, at most ``most`` + 1 if that is given, and the place of the first; those within inner groups count too.
 
-        The bound is raised by one as long as there is no parse within it: most faulty pieces need few edits, and
-        each more costs as much again.
+        Of equally cheap repairs the one counts whose first edit comes last.
         """
+        if self.piece(tokens, start):
+            return 0, len(tokens)
+        if most is not None and most < 1:
+            return most + 1, 0
+        most = FAR if most is None else most
+        if len(tokens) > SHORT:
+            cost, first = self.charts(tokens, start, min(most, FEW if len(tokens) <= LONG else FAR))
+            if cost <= min(most, FEW) or len(tokens) > LONG or most <= FEW:
+                return (cost, first) if cost <= most else (most + 1, 0)
+        level = 0
+        while len(tokens) > SHORT << level:
+            level += 1
+        while True:
+            self.prepare([tokens], level)
+            least, first, highest, other = self.known[tokens, "table"][1][start]
+            if least > most:
+                return most + 1, 0
+            if (least, first) == (highest, other):
+                return least, first
+            level += 1
+
+    def bounds(self, token: object, terminal: str, level: int) -> tuple[int, int]:
+        """Between which numbers of edits a lexeme stands for a terminal of its kind; from some level on, they are equal."""
+        if not isinstance(token, int) or self.fits(token, terminal):
+            return 0, 0
+        todo = [(token, terminal)]
+        low = high = 0
+        while todo:
+            t, x = todo.pop()
+            opened, inner = self.content[t]
+            if x == "JSX" or x == "TPL":
+                todo.extend((p, "JSX" if self.content[p][0] == "jsx" else "Subst" if x == "TPL" else "Embed") for p in inner)
+                continue
+            role = x[1:-1] if x[0] in "([{" else x
+            if self.parses(t, role):
+                continue
+            for part in pieces(inner, role):
+                if not self.piece(part, role):
+                    known = self.known.get((part, "table"))
+                    if len(part) > LONG < SHORT << level:
+                        known = 0, {role: self.charts(part, role, FAR) * 2}
+                    least, _, highest, _ = known[1][role] if known else (self.floor(part, role), 0, sum(map(self.weight, part)) + self.grammar.least[role], 0)
+                    low += least
+                    high += highest
+        return low, high
+
+    def floor(self, tokens: tuple, role: str) -> int:
+        """No fewer edits than this: those of lexemes that the role never holds."""
+        reach = self.grammar.reach(role)
+        return max(1, sum(self.weight(t) for t in tokens if reach.isdisjoint(self.look(t))))
+
+    def put_off(self, tokens: tuple, role: str, level: int) -> bool:
+        """Whether bounds stand for a piece within another at first: it is long, or has little in common with its role."""
+        return len(tokens) > min(LONG, SHORT << level) or not level and len(tokens) > 8 and self.floor(tokens, role) > 5
+
+    def prepare(self, todo: list[tuple], level: int = 0) -> None:
+        """Tables of some pieces and of what is faulty within them, many at a time, inner ones first."""
+        needs: dict[tuple, list[tuple]] = {}
+        order, stack = [], [(t, False) for t in todo if len(t) <= SHORT << level]
+        while stack:
+            tokens, done = stack.pop()
+            if done:
+                order.append(tokens)
+            elif tokens not in needs:
+                known = self.known.get((tokens, "table"))
+                if known and (known[0] >= level or all(x[:2] == x[2:] for x in known[1].values())):
+                    continue
+                needs[tokens] = [p for t in tokens if isinstance(t, int) for p in self.faulty(t, level)]
+                stack.append((tokens, True))
+                stack.extend((p, False) for p in needs[tokens])
+        ranks: dict[tuple, int] = {}
+        levels: list[list[tuple]] = []
+        for tokens in order:
+            rank = ranks[tokens] = max((ranks[p] + 1 for p in needs[tokens] if p in ranks), default=0)
+            if rank == len(levels):
+                levels.append([])
+            levels[rank].append(tokens)
+        for own in levels:
+            own.sort(key=len)
+            while own:
+                some, spans = [], 0
+                while own and (not some or spans + len(own[-1]) ** 2 // 2 <= SPANS):
+                    spans += len(own[-1]) ** 2 // 2 + len(own[-1]) + 1
+                    some.append(own.pop())
+                self.tables(some, level)
+
+    def faulty(self, token: int, level: int) -> list[tuple]:
+        """Pieces of a group that do not parse in a role that its brackets allow."""
+        out, todo = {}, [token]
+        while todo:
+            t = todo.pop()
+            opened, inner = self.content[t]
+            if opened in ("`", "jsx"):
+                for p in inner:
+                    if self.content[p][0] == "jsx":
+                        todo.append(p)
+                    elif not self.parses(p, role := "Subst" if opened == "`" else "Embed"):
+                        out.update((x, None) for x in pieces(self.content[p][1], role) if not self.piece(x, role) and not self.put_off(x, role, level))
+                continue
+            for role in [w[1:-1] for w in self.look(t) if len(w) > 2]:
+                if not self.parses(t, role):
+                    out.update((x, None) for x in pieces(inner, role) if not self.piece(x, role) and not self.put_off(x, role, level))
+        return list(out)
+
+    def tables(self, some: list[tuple], level: int) -> None:
+        grammar = self.grammar
+        terminals = grammar.repairs.terminals
+        kept, weights, looks, two = [], [], [], []
+        for tokens in some:
+            low, high = [], []
+            for t in tokens:
+                look, w = self.look(t), self.weight(t)
+                both = [self.bounds(t, x, level) if x in look else (max(w, grammar.weight[x]),) * 2 for x in terminals]
+                low.append([x for x, _ in both])
+                high.append([x for _, x in both])
+            two.append(low != high)
+            for rows in (low, high)[: 1 + two[-1]]:
+                kept.append(np.array(rows, np.int64).reshape(len(tokens), len(terminals)))
+                weights.append(np.array([self.weight(t) for t in tokens], np.int64))
+                looks.append([self.look(t) for t in tokens])
+        found = iter(grammar.repairs.least_edits(kept, weights, looks))
+        for tokens, differ in zip(some, two):
+            cost, first = next(found)
+            most, other = next(found) if differ else (cost, first)
+            self.known[tokens, "table"] = level, {r: (int(cost[k]), int(first[k]), int(most[k]), int(other[k])) for r, k in grammar.repairs.column.items() if r in grammar.roles}
+
+    def charts(self, tokens: tuple, start: str, most: int) -> tuple[int, int]:
+        """The bound is raised by one as long as there is no parse within it: most faulty pieces need few edits, and
+        each more costs as much again. Edits just before the place where the plain parse stops are tried first."""
+        key = (tokens, start, "repair")
+        found = self.known.get(key)
+        if found is not None:
+            return found
         self.recognise(tokens, start, self.fits)
-        since = max(0, self.stop - BACK)
-        for bound in range(1, most + 1):
-            key = (tokens, start, bound, "repair")
-            found = self.known.get(key)
-            if found is None:
-                found = self.known[key] = self._repair(tokens, start, bound, since)
-            if found[0] <= bound:
-                return found
-        return most + 1, 0
-
-    def _repair(self, tokens: tuple, start: str, most: int, since: int = 0) -> tuple[int, int]:
-        """``spent[i]`` is the least cost of reaching place i at all: what begins there may cost only the rest."""
+        stop, bound = self.stop, 1
+        near = max(0, stop - NEAR)
+        while bound <= most:
+            if self._repair(tokens, start, bound, near) <= bound or near and self._repair(tokens, start, bound, 0) <= bound:
+                break
+            bound += 1
+        else:
+            return most + 1, 0
+        # the last place before which all can stay as it is: with what begins later there is no such repair
+        good, bad, step = 0, stop + 1, NEAR
+        while bad - good > 1:
+            since = (good + bad) // 2 if good else max(1, bad - step)
+            if self._repair(tokens, start, bound, since) <= bound:
+                good = since
+            else:
+                bad, step = since, step * 4
+        found = self.known[key] = bound, good
+        return found
+
+    def _repair(self, tokens: tuple, start: str, most: int, since: int = 0) -> int:
+        """Least number of edits, up to ``most`` + 1, none of them before place ``since``.
+
+        ``spent[i]`` is the least cost of reaching place i at all: what begins there may cost only the rest.
+        """
         grammar = self.grammar
         following, left, nullable, least, begun = grammar.next, grammar.left, grammar.nullable, grammar.least, grammar.starts
         size, wide = len(tokens), len(grammar.next)
         looks = [self.look(t) for t in tokens] + [frozenset(("END",))]
         waiting: list[dict[str, list]] = []
-        # an item is its origin times ``wide`` plus its state; a column has the cost and first edit of each
-        columns: list[dict[int, tuple[int, int]]] = [{} for _ in range(size + 2)]
+        # an item is its origin times ``wide`` plus its state; a column has the cost of each
+        columns: list[dict[int, int]] = [{} for _ in range(size + 2)]
         spent = [0] * (size + 1)
         weights = [min(most + 1, self.weight(t)) for t in tokens] + [0]
         fresh = grammar.weight
         for s in grammar.rules[start]:
-            columns[0][s] = (0, size)
+            columns[0][s] = 0
         for i in range(size + 1):
             column, after, look = columns[i], columns[i + 1], looks[i]
             room = most if i >= since else 0
             if not column:
                 break
-            spent[i] = min(v[0] + spent[item // wide] for item, v in column.items()) if i else 0
+            spent[i] = min(c + spent[item // wide] for item, c in column.items()) if i else 0
             here: dict[str, list] = {}
             held: dict[str, int] = {}
             waiting.append(here)
             todo: list[list[int]] = [[] for _ in range(most + 1)]
-            for item, v in column.items():
-                todo[v[0]].append(item)
+            for item, c in column.items():
+                todo[c].append(item)
             lowest = 0
             while lowest <= most:
                 if not todo[lowest]:
                     lowest += 1
                     continue
                 cost, item = lowest, todo[lowest].pop()
-                known, first = column[item]
-                if known != cost:
+                if column[item] != cost:
                     continue
                 o, s = divmod(item, wide)
                 left_over = room - spent[o]
                 word = following[s]
                 if word is None:
                     if o < i:
-                        for w, wo, wc, wf in waiting[o].get(left[s], ()):
+                        for w, wo, wc in waiting[o].get(left[s], ()):
                             new, total = wo * wide + w + 1, wc + cost
                             if total <= most and total + spent[wo] <= most:
                                 old = column.get(new)
-                                if old is None or total < old[0]:
-                                    column[new] = (total, wf if wf < first else first)
+                                if old is None or total < old:
+                                    column[new] = total
                                     todo[total].append(new)
                     continue
+                stays = o == i and s in begun and not (i == 0 and left[s] == start)  # what is predicted here is predicted behind the next lexeme too
                 if word in least:
                     if word not in here:
                         here[word] = []
                         barred = word in NOT_AT and not NOT_AT[word].isdisjoint(look)
                         if not barred or spent[i] < room:
-                            new_cost, new_first = (1, i) if barred else (0, size)  # as if an operator were put in before
+                            new_cost = 1 if barred else 0  # as if an operator were put in before
                             for p in grammar.rules[word] if spent[i] < room else grammar.begin(word, look):
                                 new = i * wide + p
                                 if new not in column:
-                                    column[new] = (new_cost, new_first)
+                                    column[new] = new_cost
                                     todo[new_cost].append(new)
                             lowest = min(lowest, new_cost)  # what is predicted costs less than what asks for it
-                    here[word].append((s, o, cost, first))
+                    here[word].append((s, o, cost))
                     total = cost if word in nullable else cost + least[word]
                     if total <= (most if total == cost else left_over) and total <= most:
-                        new, at = item + 1, first if total == cost or first < i else i
-                        old = column.get(new)
-                        if old is None or total < old[0]:
-                            column[new] = (total, at)
-                            todo[total].append(new)
+                        old = column.get(item + 1)
+                        if old is None or total < old:
+                            column[item + 1] = total
+                            todo[total].append(item + 1)
                     total = cost + weights[i]
-                    if total <= left_over and i < size and not (o == i and s in begun):
-                        # without this lexeme: what is predicted here is predicted behind it too
+                    if total <= left_over and i < size and not stays:
+                        # without this lexeme
                         old = after.get(item)
-                        if old is None or total < old[0]:
-                            after[item] = (total, first if first < i else i)
+                        if old is None or total < old:
+                            after[item] = total
                     continue
                 if i < size and word in look:
                     inside = held.get(word)
@@ -527,22 +698,20 @@ class Parser:
                     total = cost + inside
                     if total <= most and total + spent[o] <= (room if inside else most):
                         old = after.get(item + 1)
-                        if old is None or total < old[0]:
-                            after[item + 1] = (total, first if not inside or first < i else i)
+                        if old is None or total < old:
+                            after[item + 1] = total
                 if cost < left_over:
-                    at = first if first < i else i
                     total = cost + max(weights[i], fresh[word])
-                    if i < size and total <= left_over and word not in look and ((old := after.get(item + 1)) is None or total < old[0]):
-                        after[item + 1] = (total, at)
+                    if i < size and total <= left_over and word not in look and ((old := after.get(item + 1)) is None or total < old):
+                        after[item + 1] = total
                     total = cost + weights[i]
-                    if i < size and total <= left_over and not (o == i and s in begun) and ((old := after.get(item)) is None or total < old[0]):
-                        after[item] = (total, at)
+                    if i < size and total <= left_over and not stays and ((old := after.get(item)) is None or total < old):
+                        after[item] = total
                     total = cost + fresh[word]
-                    if total <= left_over and ((old := column.get(item + 1)) is None or total < old[0]):
-                        column[item + 1] = (total, at)
+                    if total <= left_over and ((old := column.get(item + 1)) is None or total < old):
+                        column[item + 1] = total
                         todo[total].append(item + 1)
-        ends = [v for item, v in columns[size].items() if item < wide and following[item] is None and left[item] == start]
-        return min(ends) if ends else (most + 1, 0)
+        return min((c for item, c in columns[size].items() if item < wide and following[item] is None and left[item] == start), default=most + 1)
 
 
 def cuts(tokens: tuple) -> list[list[range]]:

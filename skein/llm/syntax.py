@@ -1,7 +1,7 @@
 """Source files that do not parse in the language that their path promises.
 
-Each file is brought to bracketed lexemes and parsed by the error-correcting chart parser of ``chart``, with a
-bound on the edits that is raised from zero until there is a parse. A file that needs an edit is invalid. Quotes,
+Each file is brought to bracketed lexemes and parsed by the error-correcting parser of ``chart``, which finds the
+least number of edits, however many there are. A file that needs an edit is invalid. Quotes,
 comment signs and brackets that are missing or too many are edits too; they are made first, in the lexemes, then
 every piece that does not parse is repaired at least cost, and the costs are summed. Where the edits lie tells
 truncation, merge conflicts and wrong languages apart from other damage.
@@ -23,8 +23,8 @@ from skein.llm.chart import MOST_KEPT, SPLIT, Parser, cuts, pieces
 #: Dialect of each ending: typed, markup.
 DIALECTS = {".js": (False, False), ".mjs": (False, False), ".cjs": (False, False), ".jsx": (False, True), ".ts": (True, False), ".mts": (True, False), ".cts": (True, False), ".tsx": (True, True)}
 _CONFLICT = re.compile(r"(?m)^(?:<{7}(?: .*)?|={7}|>{7}(?: .*)?|\|{7}(?: .*)?)\r?$")
-#: Edits up to which the cost of a file is counted; more say as much as one more.
-MOST_EDITS = 2
+#: Files that are diagnosed together.
+AT_ONCE = 1000
 _DECLARES = frozenset(("import", "export", "const", "let", "var", "function", "class"))
 _PARSERS: dict[tuple[bool, bool], Parser] = {}
 
@@ -39,8 +39,8 @@ def parser(typed: bool, markup: bool) -> Parser:
     return out
 
 
-def edits(chart: Parser, group: Group, role: str, most: int) -> tuple[int, list[int]]:
-    """Cost of making a group's content fit its role, at most ``most`` + 1, and where in the text the first edit of each faulty piece lies."""
+def edits(chart: Parser, group: Group, role: str) -> tuple[int, list[int]]:
+    """Cost of making a group's content fit its role, and where in the text the first edit of each faulty piece lies."""
     kinds = tuple(chart.intern(k) if isinstance(k, Group) else k for k in group.kinds)
     spans = cuts(kinds) if role in SPLIT and ";" in kinds else [[range(len(kinds))]]
     total, places = 0, []
@@ -49,7 +49,7 @@ def edits(chart: Parser, group: Group, role: str, most: int) -> tuple[int, list[
         part = tuple(kinds[k] for k in where)
         if chart.piece(part, role):
             continue
-        cost, first = chart.repair(part, role, max(1, most - total))
+        cost, first = chart.repair(part, role)
         total += cost
         at = group.at[where[first]] if first < len(where) else group.at[where[-1]] + 1 if where else group.start
         inner = group.kinds[where[first]] if first < len(where) else None
@@ -58,33 +58,52 @@ def edits(chart: Parser, group: Group, role: str, most: int) -> tuple[int, list[
             roles = [t[1:-1] for t in chart.look(kinds[where[first]]) if len(t) > 2]
             best = min(roles, key=lambda r: (chart.cost(kinds[where[first]], r, cost), r), default=None)
             if best is not None and 0 < chart.cost(kinds[where[first]], best, cost) <= cost:
-                at = (edits(chart, inner, best, cost)[1] or [at])[0]
+                at = (edits(chart, inner, best)[1] or [at])[0]
         places.append(at)
-        if total > most:
-            return most + 1, places
     return total, places
 
 
-def diagnose(text: str | None, extension: str, most: int = MOST_EDITS) -> tuple[int, int, str, str] | None:
+def diagnose(text: str | None, extension: str, most: int | None = None) -> tuple[int, int, str, str] | None:
     """(edits, offset of the first, cause, detail) of an invalid text; None if it needs no edit.
 
-    Edits of more than ``most`` count as ``most`` + 1. Causes come from where the edits lie: within conflict
-    markers; all at the end of the text (truncated); none in another dialect, nothing that parses here, or a lone value (mismatch); other.
+    All edits count; if ``most`` is given, ``most`` + 1 stands for all costs above it, and nothing else changes. Causes
+    come from where the edits lie: within conflict markers; all at the end of the text (truncated); none in another
+    dialect, nothing that parses here, or a lone value (mismatch); other.
     """
-    dialect = DIALECTS.get(extension)
-    if not text or dialect is None:
-        return None
-    chart = parser(*dialect)
-    faults: list[tuple[int, str]] = []
-    try:
-        program = Lexer(text, *dialect).program()
-        if chart.parses(chart.intern(program), "Program"):
-            return None
-    except LexError:  # once more, with an edit for each fault
-        lexer = Lexer(text, *dialect, tolerant=True)
-        program, faults = lexer.program(), lexer.faults
-    cost, places = (most + 1, []) if len(faults) > most else edits(chart, program, "Program", most - len(faults))
-    cost = min(most + 1, cost + (len(faults) if cost <= most else 0))
+    return diagnose_all([(text, extension)], most)[0]
+
+
+def diagnose_all(texts: list[tuple[str | None, str]], most: int | None = None) -> list[tuple[int, int, str, str] | None]:
+    """``diagnose`` for many texts; what is faulty in them is repaired together."""
+    out: list[tuple[int, int, str, str] | None] = [None] * len(texts)
+    bad: dict[tuple[bool, bool], list[tuple[int, Group, list]]] = {}
+    for k, (text, extension) in enumerate(texts):
+        dialect = DIALECTS.get(extension)
+        if not text or dialect is None:
+            continue
+        chart = parser(*dialect)
+        faults: list[tuple[int, str]] = []
+        try:
+            program = Lexer(text, *dialect).program()
+            if chart.parses(chart.intern(program), "Program"):
+                continue
+        except LexError:  # once more, with an edit for each fault
+            lexer = Lexer(text, *dialect, tolerant=True)
+            program, faults = lexer.program(), lexer.faults
+        bad.setdefault(dialect, []).append((k, program, faults))
+    for dialect, own in bad.items():
+        chart = parser(*dialect)
+        chart.prepare([p for _, g, _ in own for p in pieces(chart.content[chart.intern(g)][1], "Program") if not chart.piece(p, "Program")])
+        for k, program, faults in own:
+            out[k] = _verdict(chart, dialect, texts[k][0], program, faults, most)
+    return out
+
+
+def _verdict(chart: Parser, dialect: tuple[bool, bool], text: str, program: Group, faults: list[tuple[int, str]], most: int | None) -> tuple[int, int, str, str]:
+    cost, places = edits(chart, program, "Program")
+    cost += len(faults)
+    if most is not None:
+        cost = min(cost, most + 1)
     places = sorted([at for at, _ in faults] + places)
     end = len(text.rstrip())
     marks = [m.span() for m in _CONFLICT.finditer(text)]
@@ -115,13 +134,13 @@ def _valid(text: str, dialect: tuple[bool, bool]) -> bool:
         return False
 
 
-def syntax_faults(files: DataFrame, path: str = "path", extension: str = "extension", content: str = "content", most: int = MOST_EDITS) -> DataFrame:
+def syntax_faults(files: DataFrame, path: str = "path", extension: str = "extension", content: str = "content", most: int | None = None) -> DataFrame:
     """``path``, ``cost``, ``line`` (of the first edit), ``cause``, ``detail`` of every file whose content is not valid for its ending, once.
 
-    Costs are counted up to ``most`` edits; ``most`` + 1 stands for all that need more.
+    Costs are counted in full; if ``most`` is given, ``most`` + 1 stands for all that need more.
 
     Null and empty contents are valid, endings of other languages are not judged. A null ending is taken from
-    the path, letter case does not matter. Files are read whole, one at a time, where they lie.
+    the path, letter case does not matter. Files are read whole, where they lie.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,10 +149,11 @@ def syntax_faults(files: DataFrame, path: str = "path", extension: str = "extens
         sys.setrecursionlimit(10**7)  # nested groups are followed in frames on the heap, as deep as they go
         for pdf in batches:
             rows = []
-            for p, e, t in zip(pdf["p"], pdf["e"], pdf["t"]):
-                found = diagnose(t, (e or "." + (p or "").rpartition(".")[2]).lower(), most)
-                if found:
-                    rows.append((p, found[0], t.count("\n", 0, found[1]) + 1, found[2], found[3]))
+            texts = [(t, (e or "." + (p or "").rpartition(".")[2]).lower()) for p, e, t in zip(pdf["p"], pdf["e"], pdf["t"])]
+            for k in range(0, len(texts), AT_ONCE):
+                for p, (t, _), found in zip(pdf["p"][k : k + AT_ONCE], texts[k : k + AT_ONCE], diagnose_all(texts[k : k + AT_ONCE], most)):
+                    if found:
+                        rows.append((p, found[0], t.count("\n", 0, found[1]) + 1, found[2], found[3]))
             yield pd.DataFrame(rows, columns=["path", "cost", "line", "cause", "detail"])
 
     rows = files.where(F.length(content) > 0).select(F.col(path).alias("p"), F.col(extension).alias("e"), F.col(content).alias("t"))

@@ -220,6 +220,38 @@ def test_edits_lie_where_the_fault_is():
     assert cost == 1 and text.find("1 2") <= at <= text.find("1 2") + 3
 
 
+@pytest.mark.parametrize("text,cost", [("f(a b c d e f g h i j);", 5), ("f(a b);" * 9, 9), ("let x = [" + "1, " * 45 + "1 2 3 4 5 6 7 8 9 0, 7];", 5), ("f(a b);\n" * 3 + "g('x", 5), ("f({ a: [1 2, 3 4], b(c) { return d e; } g h });", 4)])
+def test_all_edits_count(text, cost):
+    full = syntax.diagnose(text, ".js")
+    assert full[0] == cost
+    for most in (1, 2, 3):  # what is counted changes neither place nor cause
+        assert syntax.diagnose(text, ".js", most) == (min(cost, most + 1), *full[1:])
+
+
+def test_places_and_causes_do_not_depend_on_how_many_edits():
+    text = "let a = f(1 2 3 4 5);\nfunction g() { if (a) { for (;;) { h("
+    cost, at, cause, _ = syntax.diagnose(text, ".js")
+    assert (cost, cause) == (6, "other") and text.index("1 2") < at <= text.index("2")
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.sampled_from(["id", "=", "num", "+", "let", ",", ":", "return", "?", "("]), max_size=5))
+def test_tables_and_charts_find_the_same(tokens):
+    parser = syntax.parser(False, False)
+    inner = parser.intern(Lexer("(a b, c d)", tolerant=True).program().kinds[0])
+    piece = tuple(inner if t == "(" else t for t in tokens)
+    assert parser.repair(piece, "Block") == ((0, len(piece)) if parser.piece(piece, "Block") else parser.charts(piece, "Block", chart.FAR))
+    if len(piece) <= 3 and inner not in piece:
+        alphabet = ["id", "=", "num", "+", "let", ",", ":", "return", "?", "NL", ";"]
+        assert min(3, parser.repair(piece, "Block")[0]) == brute_cost(parser, piece, "Block", alphabet[:-1], 2)
+
+
+def test_edits_far_before_the_stop_count():
+    parser = syntax.parser(False, False)
+    piece = ("var",) + ("id", "=", "num", ",") * 5 + ("id", ".", "id", "=", "num", ",") * 2 + ("id", "=", "num", ";", ";")  # all is well without var
+    assert parser.repair(piece, "For") == parser.charts(piece, "For", chart.FAR) == (1, 0)
+
+
 def test_equal_groups_are_one():
     parser = chart.Parser(False, False)
     program = Lexer("f({ a: 1 }); g({ b: 2 });").program()
